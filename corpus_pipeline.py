@@ -1,11 +1,65 @@
-"""A corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding."""
+"""A corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; run() writes what each returns to
+the shared folder and reads it for the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vereda.llm import decontaminate, mixing, near_dup, queries, sharding, toxicity
+from vereda.llm._work import table, written
+
 #: The stages fit models, search and compare sketches, which SQL does not express; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of any severity above 0 is under the threshold stay."""
+    model = toxicity.train(docs, queries.grades(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).where("not toxic").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class of near-duplicates stays; documents without an id all stay."""
+    kept = near_dup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    return some.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(none)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark stay."""
+    return decontaminate.match(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it: its taken words over its size, rounded by a seeded draw."""
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    draw = F.pmod(F.xxhash64(F.lit(mixing.SEED + 3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(1).cast("int")
+    times = taken.select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
+    drawn = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, shuffled and numbered in eight shards."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
