@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vereda.llm import _text as t
 from vereda.llm._work import widened
 
-RANK, WINDOW, COSINE, STRONG, WEAK, ANSWER, LEAST, BLOCK, POWER, SEED = 96, 64, 0.5, 0.8, 0.6, 0.8, 6, 4096, 2, 20240610
+RANK, WINDOW, COSINE, STRONG, WEAK, ANSWER, LEAST, BLOCK, POWER, SEED = 96, 64, 0.6, 0.8, 0.6, 0.8, 6, 4096, 2, 20240610
 ADDED = "n_items long, items array<long>, item_id long, cosine double, overlap double, contaminated boolean"
 
 
@@ -175,6 +175,7 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
         df, total = document_frequencies(corpus, vocabulary)
         idf = np.log((1 + total) / (1 + df)) + 1
         words = [look_up(vocabulary, h) for h in hashes]
+        known_words = [np.unique(w) for w in words]
         weighted = tfidf(words, idf)
         basis = latent_basis(docs.sparkSession, weighted, len(vocabulary), rank)
         latent = np.stack([v @ basis[w] for w, v in weighted])
@@ -184,7 +185,8 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
     def judge(region: np.ndarray, i: int) -> float | None:
         """Share of passage i that the densest stretch of the region has in order, if that contaminates."""
         own = words[i]
-        inside = np.append(0, np.cumsum(np.isin(region, own)))
+        inside = np.zeros(len(region) + 1, np.int64)
+        np.cumsum(look_up(known_words[i], region) >= 0, out=inside[1:])
         span = min(len(region), int(1.3 * len(own)) + 2)
         dense = inside[span:] - inside[:-span]
         at = int(dense.argmax())
