@@ -16,6 +16,11 @@ def lexicon(rows: DataFrame) -> DataFrame:
     return folded.groupBy("surface", "kind").agg(F.max_by("canonical", "ord").alias("canonical"), F.max("ord").alias("ord"))
 
 
+def _grams(words: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
 def mentions(texts: DataFrame, lex: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, kind, canonical) once each. Surfaces of word characters only join on word n-grams; others are searched.
 
@@ -32,9 +37,7 @@ def mentions(texts: DataFrame, lex: DataFrame, key: str, text: str = "text") ->
         runs = folded.select(key, F.explode(F.split("_t", r"[^\w -]+")).alias("_r")).select(key, F.filter(F.split(F.trim("_r"), " +"), lambda w: w != "").alias("_w")).where(F.size("_w") > 0)
         grams = None
         for n in range(1, longest + 1):
-            part = runs.where(F.size("_w") >= n).select(
-                key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")))).alias("surface")
-            )
+            part = runs.where(F.size("_w") >= n).select(key, F.explode(_grams(F.col("_w"), n)).alias("surface"))
             grams = part if grams is None else grams.unionAll(part)
         parts.append(grams.join(plain, "surface").select(key, "kind", "canonical"))
     n_other = other.count()
