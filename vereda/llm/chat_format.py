@@ -115,7 +115,7 @@ def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col("conv_id").alias("_conv"), F.col("_stretch").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
     rows = rows.join(counts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_stretch") == F.col("_s")))
-    own = Window.partitionBy("conv_id", "_stretch").orderBy("_place", "_after", at, "_rank", "call_id", "result_of")
+    own = Window.partitionBy("conv_id", "_stretch").orderBy("_place", "_after", at, "call_id", "result_of", "_rank")
     rows = rows.withColumn("position", F.col("_before") + F.row_number().over(own) - 1)
 
     rows = rows.join(schemas.select(F.col("name").alias("_name"), "params"), F.col("name") == F.col("_name"), "left")
