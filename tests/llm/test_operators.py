@@ -199,3 +199,45 @@ def test_chat_links_json_calls(spark):
     assert [(r.kind, r.call_id) for r in got] == [("message", None), ("call", "1:c1"), ("call", "1:c2"), ("result", "1:c1"), ("result", "1:c2"), ("orphan", "1:zz")]
     assert got[1].valid and '"arguments":{"a":1,"b":2}' in got[1].json
     assert got[2].faults == "missing b; type a; unknown z"
+
+
+def test_large_group_of_near_copies_loses_no_link(spark):
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(200):
+        w = list(base)
+        for _ in range(rnd.randint(3, 9)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randint(0, 99999)}"
+        texts.append(" ".join(w + (w[:40] if rnd.random() < 0.3 else [])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    number = {}
+    bags = [Counter(number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)) for w in (x.split() for x in texts)]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and near_dup.probability_jaccard(bags[i], bags[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert len(set(got.values())) > 20
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_parity_bound_never_drops_a_pair_that_reaches_the_similarity():
+    rnd = random.Random(4)
+    for _ in range(60):
+        w = [f"w{rnd.randint(0, 60 if rnd.random() < 0.5 else 9999)}" for _ in range(rnd.randint(5, 400))]
+        v = [x if rnd.random() > 0.02 else "z" for x in w]
+        sides = [near_dup.features(*near_dup.t.column_bytes(near_dup.pa.array([" ".join(x).encode()]))) for x in (w, v)]
+        bits = [near_dup.parities(g, r, 1)[0] for g, r, _ in sides]
+        apart = sum(int(x).bit_count() for x in bits[0] ^ bits[1])
+        bags = [dict(zip(g.tolist(), c.tolist(), strict=True)) for g, _, c in sides]
+        j, mass = near_dup.probability_jaccard(*bags), sum(int(c.sum()) for _, _, c in sides)
+        plain = all((c == 1).all() for _, _, c in sides)
+        assert apart <= len(bags[0].keys() ^ bags[1].keys()) <= (1 - j) / (1 + j if plain else 1) * mass + 1e-6
