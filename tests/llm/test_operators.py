@@ -229,15 +229,24 @@ def test_large_group_of_near_copies_loses_no_link(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
-def test_parity_bound_never_drops_a_pair_that_reaches_the_similarity():
+def test_bound_never_drops_a_pair_that_reaches_the_similarity(spark):
     rnd = random.Random(4)
+    texts, passage = [], [f"p{i}" for i in range(40)]
     for _ in range(60):
         w = [f"w{rnd.randint(0, 60 if rnd.random() < 0.5 else 9999)}" for _ in range(rnd.randint(5, 400))]
-        v = [x if rnd.random() > 0.02 else "z" for x in w]
-        sides = [near_dup.features(*near_dup.t.column_bytes(near_dup.pa.array([" ".join(x).encode()]))) for x in (w, v)]
-        bits = [near_dup.parities(g, r, 1)[0] for g, r, _ in sides]
-        apart = sum(int(x).bit_count() for x in bits[0] ^ bits[1])
-        bags = [dict(zip(g.tolist(), c.tolist(), strict=True)) for g, _, c in sides]
-        j, mass = near_dup.probability_jaccard(*bags), sum(int(c.sum()) for _, _, c in sides)
-        plain = all((c == 1).all() for _, _, c in sides)
-        assert apart <= len(bags[0].keys() ^ bags[1].keys()) <= (1 - j) / (1 + j if plain else 1) * mass + 1e-6
+        w += passage * rnd.choice([0, 0, 6])
+        v = [x if rnd.random() > rnd.choice([0.002, 0.02]) else "z" for x in w] + passage * rnd.choice([0, 0, 1])
+        texts += [" ".join(w), " ".join(v)]
+    sides = [near_dup.features(*near_dup.t.column_bytes(near_dup.pa.array([x.encode()]))) for x in texts]
+    bags = [dict(zip(g.tolist(), c.tolist(), strict=True)) for g, _, c in sides]
+    rows = spark.createDataFrame([(str(i), x.encode()) for i, x in enumerate(texts)], "node string, text binary")
+    sketches = near_dup.sketched(rows).cache()
+    pairs = spark.createDataFrame([(str(i), str(i + 1)) for i in range(0, len(texts), 2)], "a string, b string")
+    joined = pairs.join(sketches.alias("l"), F.expr("a = l.node")).join(sketches.alias("r"), F.expr("b = r.node"))
+    reach = 0
+    for similarity in (0.5, 0.7, 0.8, 0.9):
+        for a, ok in joined.select("a", near_dup.may_reach("l", "r", similarity)).collect():
+            close = near_dup.probability_jaccard(bags[int(a)], bags[int(a) + 1]) >= similarity
+            reach += close
+            assert ok or not close
+    assert reach > 60
