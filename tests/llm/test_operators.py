@@ -172,6 +172,39 @@ def test_decontamination_finds_paraphrases(spark):
     assert decontaminate.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 3, 1, 4])) == 3
 
 
+def test_decontamination_finds_what_the_cosine_misses(spark):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    passages = [[rnd.choice(words) for _ in range(rnd.randint(6, 30))] for _ in range(200)]
+    texts = []
+    for p in passages[:40]:
+        p = list(p)
+        for _ in range(rnd.choice([0, 0, len(p) // 5])):
+            p[rnd.randrange(len(p))] = "other"
+        host = [rnd.choice(words) for _ in range(rnd.choice([0, 40, 120, 700]))]
+        at = rnd.randint(0, len(host))
+        texts.append(host[:at] + p + host[at:])
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.match(docs, bench, rank=32).collect()}
+    number = {w: i for i, w in enumerate([*words, "other"])}
+    passages, texts = ([np.array([number[w] for w in x]) for x in y] for y in (passages, texts))
+    for i, x in enumerate(texts):
+        want = set()
+        for k, p in enumerate(passages):
+            tail, span = decontaminate.answer_length(" ".join(map(str, p)), len(p)), int(1.3 * len(p)) + 2
+            inside = np.append(0, np.cumsum(np.isin(x, p)))
+            for a in range(max(1, len(x) - span + 1)):
+                y = x[a : a + span]
+                if inside[min(len(x), a + span)] - inside[a] >= 0.6 * len(p) and (share := decontaminate.lcs(p, y) / len(p)) >= 0.6:
+                    if share >= 0.8 or decontaminate.lcs(p[-tail:], y) >= 0.8 * tail:
+                        want.add(k)
+                        break
+        assert want <= got[i], (i, want - got[i])
+        for k in got[i] - want:  # six words more than a stretch are allowed
+            assert decontaminate.lcs(passages[k], x) >= 0.6 * len(passages[k])
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(5)
     rows = []

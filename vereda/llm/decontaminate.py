@@ -7,6 +7,11 @@ of a window and a passage with a cosine of `cosine` or more are candidates. In t
 surroundings the longest common subsequence with the passage is taken: a document is contaminated by a passage if it
 covers `strong` of the passage's words, or `weak` of them and `answer` of the passage's last sentence.
 
+What the cosine misses is found exactly. A stretch that covers a share of n words leaves out the rest of them at most, so
+it holds one of any set of more words than that: of the rarest ones. Every piece of a document with such a word of a
+passage, and with words for `weak` of it, is searched at each place dense enough. Only a passage spread over more than
+1.3 times its length is out of reach.
+
 Documents are read twice and never shuffled. Passages are handled in blocks of `block`, so what a task holds has a fixed
 bound. Defined cases: passages of under `least` words match nothing; null and empty texts match nothing; a table
 without passages gives clean documents; repeated rows are judged alike; extra columns are carried along, or replaced
@@ -26,6 +31,8 @@ from vereda.llm import _text as t
 from vereda.llm._work import widened
 
 RANK, WINDOW, COSINE, STRONG, WEAK, ANSWER, LEAST, BLOCK, POWER, SEED = 96, 64, 0.6, 0.8, 0.6, 0.8, 6, 4096, 2, 20240610
+#: Words between the starts of two pieces at least; piece x word flags and pairs or words of pairs held at a time.
+PIECE, FLAGS, HELD = 256, 1 << 24, 1 << 20
 ADDED = "n_items long, items array<long>, item_id long, cosine double, overlap double, contaminated boolean"
 
 
@@ -136,6 +143,17 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def rarest(own: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
+    """The rarest of the passage's words, so many that any text that covers the share of it holds one of them."""
+    need = max(1, int(np.ceil(share * len(own) - 1e-9)))
+    return own[np.argsort(df[own], kind="stable")[: len(own) - need + 1]]
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices begin, begin + 1, ... of each run of `count`."""
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
 def match(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, window: int = WINDOW, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK,
           answer: float = ANSWER, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """All columns of docs with the passages that contaminate each: n_items, items, and of the best one id, cosine, overlap."""
@@ -181,33 +199,66 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
         latent = np.stack([v @ basis[w] for w, v in weighted])
         latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         loads = (basis * idf[:, None]).astype(np.float32)
+        signs = [np.union1d(rarest(w, df, strong), min(rarest(w, df, weak), rarest(w[-k:], df, answer), key=lambda x: df[x].sum())) for w, k in zip(words, tails, strict=True)]
+        sign = np.concatenate(signs)
+        signed = np.repeat(np.arange(len(words)), [len(x) for x in signs])[np.argsort(sign, kind="stable")]
+        signed_at = np.append(0, np.cumsum(np.bincount(sign, minlength=len(vocabulary))))
+        length = np.array([len(w) for w in words])
+        every, every_at = np.concatenate(words), np.append(0, np.cumsum(length))
+        piece = max(PIECE, int(1.3 * length.max()) + 8)
+
+    def covered(own: np.ndarray, i: int, stretch: np.ndarray) -> float | None:
+        """Share of passage i that the stretch has in order, if that contaminates."""
+        share = lcs(own, stretch) / len(own)
+        if share >= strong or share >= weak and lcs(own[-tails[i] :], stretch) >= answer * tails[i]:
+            return share
+        return None
+
+    def density(region: np.ndarray, i: int) -> tuple[np.ndarray, int]:
+        """Words of passage i in the stretch from each place on, and the length of a stretch."""
+        inside = np.zeros(len(region) + 1, np.int64)
+        np.cumsum(look_up(known_words[i], region) >= 0, out=inside[1:])
+        span = min(len(region), int(1.3 * len(words[i])) + 2)
+        return inside[span:] - inside[:-span], span
 
     def judge(region: np.ndarray, i: int) -> float | None:
         """Share of passage i that the densest stretch of the region has in order, if that contaminates."""
         own = words[i]
-        inside = np.zeros(len(region) + 1, np.int64)
-        np.cumsum(look_up(known_words[i], region) >= 0, out=inside[1:])
-        span = min(len(region), int(1.3 * len(own)) + 2)
-        dense = inside[span:] - inside[:-span]
+        dense, span = density(region, i)
         at = int(dense.argmax())
         if dense[at] < weak * len(own):
             return None
-        stretch = region[max(0, at - 3) : at + span + 3]
-        share = lcs(own, stretch) / len(own)
-        if share >= strong or share >= weak and lcs(own[-tails[i] :], stretch) >= answer * tails[i]:
-            return share
-        return None
+        return covered(own, i, region[max(0, at - 3) : at + span + 3])
+
+    def judge_all(region: np.ndarray, i: int) -> float | None:
+        """The same at every place that is dense enough: six words more make a stretch hold those of the next six places."""
+        dense, span = density(region, i)
+        best, after = None, 0
+        for at in np.flatnonzero(dense >= weak * len(words[i])).tolist():
+            if at >= after:
+                after = at + 7
+                share = covered(words[i], i, region[at : at + span + 6])
+                best = share if best is None else max(best, share or 0.0)
+        return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(max(FLAGS, len(vocabulary)) if kept else 0, bool)
         for batch in batches:
             for low, high, buf, offs in t.slices(batch.column(place), 1 << 18):
                 found: list[dict[int, tuple[float, float]]] = [{} for _ in range(high - low)]
                 if kept:
                     starts, ends, first = t.words(buf, offs, t.ALNUM)
                     word = look_up(vocabulary, t.range_hash(t.prefix_hash(buf, lower=True), starts, ends))
-                    for row, i, cos, a, b in candidates(word, first):
+                    near, offset = similar(word, first)
+                    for row, i, cos, a, b in candidates(near, offset, first):
                         if (share := judge(word[a:b], i)) is not None:
                             found[row][i] = max(found[row].get(i, (0.0, 0.0)), (round(share, 6), round(float(cos), 4)))
+                    missed: dict[tuple[int, int], float] = {}
+                    for row, i, a, b in sharing(word, first, flags):
+                        if i not in found[row] and (share := judge_all(word[a:b], i)) is not None:
+                            missed[row, i] = max(missed.get((row, i), 0.0), share)
+                    for (row, i), share in missed.items():
+                        found[row][i] = round(share, 6), round(float(near[offset[row] : offset[row + 1], i].max()), 4)
                 best = [max(((*v, -ids[i]) for i, v in f.items()), default=None) for f in found]
                 columns = [
                     pa.array([len(f) for f in found], pa.int64()),
@@ -220,25 +271,62 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *[x.split()[0] for x in ADDED.split(", ")]])
 
-    def candidates(word: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-        """(row, passage, cosine, start, end of the surroundings): windows of two half windows, at each half window."""
+    def sharing(word: np.ndarray, first: np.ndarray, flags: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, passage, start, end) of the pieces that hold a sign of the passage and words for the weak share of it."""
+        size, row = len(vocabulary), t.rows_of(first)
+        many = np.maximum(1, -(-np.diff(first) // piece) - 1)
+        offset = np.append(0, np.cumsum(many))
+        known = np.flatnonzero(word >= 0)
+        step, of = (known - first[row[known]]) // piece, row[known]
+        here, before = step < many[of], step > 0
+        key = np.unique(np.concatenate([(offset[of] + step)[here] * size + word[known[here]], (offset[of] + step - 1)[before] * size + word[known[before]]]))
+        p, w = key // size, key % size
+        hits = np.diff(signed_at)[w]
+        total = np.append(0, np.cumsum(hits))
+        a = 0
+        while a < len(p):
+            full = int(np.searchsorted(total, total[a] + HELD, "right")) - 1
+            limit = min(p[a] + max(1, FLAGS // size), max(p[a] + 1, p[full] if full < len(p) else offset[-1]))
+            b, base = int(np.searchsorted(p, limit)), p[a]
+            pair = np.unique(np.repeat(p[a:b], hits[a:b]) * len(words) + signed[spread(signed_at[w[a:b]], hits[a:b])])
+            held = (p[a:b] - base) * size + w[a:b]
+            flags[held] = True
+            ends = np.append(0, np.cumsum(length[pair % len(words)]))
+            c = 0
+            while c < len(pair):
+                d = max(c + 1, int(np.searchsorted(ends, ends[c] + HELD, "right")) - 1)
+                q, i = np.divmod(pair[c:d], len(words))
+                there = flags[np.repeat((q - base) * size, length[i]) + every[spread(every_at[i], length[i])]]
+                enough = np.add.reduceat(there, ends[c:d] - ends[c], dtype=np.int64) >= weak * length[i]
+                for x, k in zip(q[enough].tolist(), i[enough].tolist(), strict=True):
+                    r = int(np.searchsorted(offset, x, "right")) - 1
+                    start = int(first[r] + (x - offset[r]) * piece)
+                    yield r, k, start, min(int(first[r + 1]), start + 2 * piece)
+                c = d
+            flags[held] = False
+            a = b
+
+    def similar(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine of each window with each passage, and the index of each row's first window: two half windows, at each half window."""
         row = t.rows_of(first)
         known = np.flatnonzero(word >= 0)
-        if not len(known):
-            return
         step = (np.arange(len(word)) - first[row]) // half
         offset = np.append(0, np.cumsum(np.diff(first) // half + 1))
         cell = (offset[row] + step)[known]
-        edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        edge = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
         sums = np.zeros((offset[-1] + 1, loads.shape[1]), np.float32)
-        sums[cell[edge]] = np.add.reduceat(loads[word[known]], edge, axis=0)
+        if len(known):
+            sums[cell[edge]] = np.add.reduceat(loads[word[known]], edge, axis=0)
         last = offset[1:] - 1
         both = sums[:-1].copy()
         inner = np.ones(len(both), bool)
         inner[last] = False
         both[inner] += sums[1:][inner]
         both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
-        near = both @ latent.T
+        return both @ latent.T, offset
+
+    def candidates(near: np.ndarray, offset: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """(row, passage, cosine, start, end of the surroundings) of the windows near a passage."""
         at, i = np.nonzero(near >= cosine)
         if not len(at):
             return
