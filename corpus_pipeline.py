@@ -23,10 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near-duplicates stays; documents without an id all stay."""
-    kept = near_dup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    some, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    return some.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(none)
+    """One row of each class of near-duplicates stays, chosen by doc_id and a digest of the text; texts without words all stay."""
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    kept = near_dup.representatives(docs).select(F.col("doc_id").alias("_id"), "node")
+    some = docs.where(worded).withColumn("_node", F.md5(F.col("text").cast("binary")))
+    some = some.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("node")), "left_semi")
+    return some.dropDuplicates(["doc_id", "_node"]).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,6 +142,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(15)
+    a, b, c, e, f = (" ".join(f"w{rnd.randint(0, 5000)}" for _ in range(80)) for _ in range(5))
+    rows = [(2, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c + " more"), (7, e), (7, f), (8, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = {(2, a), (5, b), (7, e), (7, f), (8, ""), (9, None)}
+    rest = [x for x in got if x not in want]
+    assert len(got) == len(set(got)) == 7 and want <= set(got) and rest[0] in [(None, c), (None, c + " more")]
+
+
 def test_probminhash_estimates_similarity():
     rnd = np.random.default_rng(1)
     gram = rnd.integers(0, 2**63, 300).astype(np.uint64)
