@@ -52,3 +52,23 @@ def test_rrf_and_mrr(spark):
     lists = spark.createDataFrame([(1, "v", 7, 1, 1.0), (1, "b", 7, 3, 1.0), (1, "b", 8, 1, 1.0)], "query_id int, list string, k int, rank int, w double")
     got = {r.k: (round(r.score, 6), r.provenance) for r in rt.rrf(lists, "k").collect()}
     assert got == {7: (round(1 / 61 + 1 / 63, 6), "b+v"), 8: (round(1 / 61, 6), "b")}
+
+
+def test_lsa_equals_exact_svd(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    texts = [[f"t{k}" for k in (rnd.zipf(1.3, 40) % 6000)] for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, words array<string>")
+    got = {r.doc_id: np.array(r.vector) for r in rt.lsa_vectors(docs, "doc_id", "words").collect()}
+    terms = sorted({x for t in texts for x in t})
+    tf = np.array([[t.count(x) for x in terms] for t in texts])
+    a = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * (np.log((1 + len(texts)) / (1 + (tf > 0).sum(0))) + 1)
+    u, s, _ = np.linalg.svd(a / np.linalg.norm(a, axis=1, keepdims=True), full_matrices=False)
+    exact = (u * s)[:, :128]
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    mine = np.stack([got[i] for i in range(len(texts))])
+    assert mine.shape == exact.shape
+    top = [np.argsort(-(x @ x.T - 2 * np.eye(len(x))), axis=1)[:, :5] for x in (mine, exact)]
+    recall = np.mean([len(set(p) & set(q)) / 5 for p, q in zip(*top, strict=True)])
+    assert recall >= 0.95, recall
