@@ -285,14 +285,29 @@ def test_bound_never_drops_a_pair_that_reaches_the_similarity(spark):
         texts += [" ".join(w), " ".join(v)]
     sides = [near_dup.features(*near_dup.t.column_bytes(near_dup.pa.array([x.encode()]))) for x in texts]
     bags = [dict(zip(g.tolist(), c.tolist(), strict=True)) for g, _, c in sides]
-    rows = spark.createDataFrame([(str(i), x.encode()) for i, x in enumerate(texts)], "node string, text binary")
-    sketches = near_dup.sketched(rows).cache()
-    pairs = spark.createDataFrame([(str(i), str(i + 1)) for i in range(0, len(texts), 2)], "a string, b string")
-    joined = pairs.join(sketches.alias("l"), F.expr("a = l.node")).join(sketches.alias("r"), F.expr("b = r.node"))
+    known = np.concatenate([near_dup.sketch(g, r, c, 1) for g, r, c in sides])
     reach = 0
     for similarity in (0.5, 0.7, 0.8, 0.9):
-        for a, ok in joined.select("a", near_dup.may_reach("l", "r", similarity)).collect():
-            close = near_dup.probability_jaccard(bags[int(a)], bags[int(a) + 1]) >= similarity
+        for i, ok in enumerate(near_dup.may_reach(known[::2], known[1::2], similarity)):
+            close = near_dup.probability_jaccard(bags[2 * i], bags[2 * i + 1]) >= similarity
             reach += close
             assert ok or not close
     assert reach > 60
+
+
+def test_blocks_and_star_steps_give_the_same_classes(spark, monkeypatch):
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randint(0, 99999)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(near_dup.classes(docs).collect())
+    monkeypatch.setattr(near_dup, "SPAN", 7)
+    monkeypatch.setattr(near_dup, "STEP", 50)
+    monkeypatch.setattr(near_dup.connected, "__defaults__", (0,))
+    assert sorted(near_dup.classes(docs).collect()) == want
+    assert 1 < len({r.class_id for r in want}) < 90
