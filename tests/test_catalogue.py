@@ -10,7 +10,7 @@ from vereda.operators import retrieval as rt
 from vereda.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bm25_topk", "rrf_provenance", "lexicon_mentions", "graph_stats", "khop_neighborhood", "mediator_inference", "pair_findings_ranked", "ir_metrics_at_k", "answer_compose", "evidence_append"]
+NAMES = ["bm25_topk", "rrf_provenance", "lexicon_mentions", "graph_stats", "khop_neighborhood", "mediator_inference", "pair_findings_ranked", "pair_mechanism", "inferred_edge_evidence", "ir_metrics_at_k", "answer_compose", "evidence_append"]
 
 
 def plain(value):
@@ -48,6 +48,33 @@ def test_rules(spark):
     assert got == {("a", "b"): ("R1", "contraindicado"), ("a", "p"): ("R3", "contraindicado"), ("x", "b"): ("R4", "contraindicado"), ("x", "p"): ("R4", "contraindicado"), ("x", "a"): ("R4", "contraindicado")}
 
 
+EDGE = "src string, dst string, relation string, origin string, severity string, rule string, mediator string, chunk_id string, ord long"
+
+
+def edge(src, dst, relation, severity=None, chunk=None, ord_=0, origin="asserted", rule=None, mediator=None):
+    return (src, dst, relation, origin, severity, rule, mediator, chunk, ord_)
+
+
+def test_pair_findings_with_paths_and_evidence(spark):
+    rows = [
+        edge("a", "b", "INTERAGE_COM", "leve", "k2", 2), edge("a", "b", "INTERAGE_COM", "leve", "k1", 1), edge("b", "a", "INTERAGE_COM", "leve", "k0", 0),
+        edge("a", "b", "INTERAGE_COM", "grave", None, 9, "inferred", "R1", "e"), edge("a", "e", "INIBE", None, "m2"), edge("a", "e", "INIBE", None, "m1"), edge("b", "e", "SUBSTRATO_DE", None, "m1"),
+        edge("b", "cb", "E_DA_CLASSE", None, "f2"), edge("a", "ca", "E_DA_CLASSE", None, "f1"), edge("a", "cb", "INTERAGE_COM_CLASSE", "grave", "g1", 3),
+        edge("cb", "ca", "INTERAGE_COM_CLASSE", "contraindicado", "h1", 4), edge("a", "x", "MENCIONA", None, "f1"), edge("x", "b", "INTERAGE_COM", None, "k9"),
+    ]
+    edges = spark.createDataFrame(rows, EDGE)
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "x"), ("a", "missing"), (None, "b")], "a string, b string")
+    got = [(r.a, r.b, r["rank"], r.kind, r.rule, r.severity, r.path, r.chunks) for r in g.pair_findings(edges, pairs).orderBy("a", "b", "rank").collect()]
+    assert got == [
+        ("a", "b", 1, "class_class", None, "contraindicado", ["a", "ca", "cb", "b"], ["h1", "f1", "f2"]),
+        ("a", "b", 2, "mechanism", "R1", "grave", ["a", "e", "b"], ["m1", "m2"]),
+        ("a", "b", 3, "class", None, "grave", ["a", "cb", "b"], ["g1", "f2"]),
+        ("a", "b", 4, "direct", None, "leve", ["a", "b"], ["k1"]),
+        ("b", "x", 1, "direct", None, "moderada", ["x", "b"], ["k9"]),
+    ]
+    assert g.pair_findings(edges.limit(0), pairs).count() == 0
+
+
 def test_rrf_and_mrr(spark):
     lists = spark.createDataFrame([(1, "v", 7, 1, 1.0), (1, "b", 7, 3, 1.0), (1, "b", 8, 1, 1.0)], "query_id int, list string, k int, rank int, w double")
     got = {r.k: (round(r.score, 6), r.provenance) for r in rt.rrf(lists, "k").collect()}

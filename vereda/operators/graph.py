@@ -80,13 +80,14 @@ def induced(edge_rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return edge_rows.join(ends, edge_rows["src"] == ends["id"], "left_semi").join(ends, edge_rows["dst"] == ends["id"], "left_semi")
 
 
-def mediated(modulators: DataFrame, targets: DataFrame) -> DataFrame:
+def mediated(modulators: DataFrame, targets: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Edges inferred from a shared mediator: (a, relation_a, intensity_a, m) x (b, relation_b, intensity_b, m).
 
     Strong or moderate modulators only, induction only if strong; rules R1-R4 and their severities as one CASE each.
+    With pairs (a, b) only their edges are made, so a mediator that all share costs no more rows than there are pairs.
     """
     mods = modulators.where("intensity_a in ('forte', 'moderada') and (relation_a <> 'INDUZ' or intensity_a = 'forte')")
-    both = mods.join(targets, "m").where("a <> b")
+    both = (mods.join(targets, "m") if pairs is None else pairs.select("a", "b").distinct().join(mods, "a").join(targets, ["b", "m"])).where("a <> b")
     rule = F.when(F.col("relation_a") == "INDUZ", "R2").when(F.col("special"), "R4").when(F.col("relation_b") == "ATIVADO_POR", "R3").otherwise("R1")
     by_role = (
         F.when(F.col("relation_b") == "ATIVADO_POR", F.when(F.col("intensity_a") == "forte", "contraindicado").otherwise("grave"))
@@ -100,6 +101,71 @@ def mediated(modulators: DataFrame, targets: DataFrame) -> DataFrame:
 KIND_RANK = {"direct": 0, "mechanism": 1, "class": 2, "class_class": 3}
 
 
+def evidence(inferred: DataFrame, edge_rows: DataFrame, ends: tuple[str, str] = ("a", "b"), mediator: str = "mediator") -> DataFrame:
+    """inferred (ends, mediator, ...) with `evidence`: the sorted set of chunk ids of any edge from an end to the mediator."""
+    hubs = edge_rows.select(F.col("mediator").alias("dst")) if "mediator" in edge_rows.columns else inferred.select(F.col(mediator).alias("dst"))
+    to = edge_rows.where("chunk_id is not null").select("src", "dst", "chunk_id").join(hubs.where("dst is not null").distinct(), "dst", "left_semi")
+    to = to.groupBy("src", "dst").agg(F.collect_set("chunk_id").alias("ch"))
+    out = inferred
+    for side in ends:
+        out = out.join(to.select(F.col("src").alias(side), F.col("dst").alias(mediator), F.col("ch").alias(f"_{side}")), [side, mediator], "left")
+    none = F.array().cast("array<string>")
+    found = F.array_union(*[F.coalesce(f"_{side}", none) for side in ends])
+    return out.withColumn("evidence", F.array_sort(found)).select(*inferred.columns, "evidence")
+
+
+#: The relations that pair analysis walks.
+DIRECT, MEMBER, TO_CLASS = "INTERAGE_COM", "E_DA_CLASSE", "INTERAGE_COM_CLASSE"
+FINDING = ["a", "b", "kind", "rule", "severity", "path", "chunks", "ord"]
+
+
+def pair_legs(edge_rows: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """The ways that link the nodes of each requested pair (a, b): leg -> (a, b, kind, rule, severity, path, chunks, ord).
+
+    edge_rows: src, dst, relation, origin, severity, rule, mediator, chunk_id, ord. Legs: `direct` edges in both directions,
+    asserted (kind direct) or inferred (kind mechanism, through the mediator, with its evidence where the edge has no chunk);
+    `class`: one node to a class of the other; `class_class`: a class of one to a class of the other.
+
+    Of parallel edges that give the same finding only the first by ord can count, so they are reduced to it before any join
+    with pairs. Null severities count as moderada.
+    """
+    severity = F.coalesce("severity", F.lit("moderada")).alias("severity")
+    links = edge_rows.where(F.col("relation").isin(DIRECT, TO_CLASS)).groupBy("src", "dst", "relation", "origin", severity, "rule", "mediator")
+    links = links.agg(F.min(F.struct("ord", "chunk_id")).alias("_first")).select("src", "dst", "relation", "origin", "severity", "rule", "mediator", "_first.*")
+    member = edge_rows.where(F.col("relation") == MEMBER).groupBy("src", F.col("dst").alias("cls")).agg(F.min("ord").alias("cls_ord"), F.array_sort(F.collect_set("chunk_id")).alias("ch"))
+    asked = pairs.select("a", "b").distinct()
+    turned = asked.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0).alias("turn")).unionByName(asked.select("a", "b", F.col("b").alias("u"), F.col("a").alias("v"), F.lit(1).alias("turn")))
+    own = F.filter(F.array("chunk_id"), lambda c: c.isNotNull())
+    place = lambda leg, x=0, y=0: F.struct(F.lit(leg).alias("leg"), "turn", *[(F.lit(c) if c == 0 else F.col(c)).cast("long").alias(n) for n, c in (("x", x), ("y", y))], F.col("ord").cast("long").alias("e")).alias("ord")
+
+    joined = turned.join(links.where(F.col("relation") == DIRECT), (F.col("u") == F.col("src")) & (F.col("v") == F.col("dst")))
+    asserted = joined.where("origin <> 'inferred'").select("a", "b", F.lit("direct").alias("kind"), "rule", "severity", F.array("u", "v").alias("path"), own.alias("chunks"), place(0))
+    through = evidence(joined.where("origin = 'inferred'"), edge_rows, ("u", "v"))
+    path = F.when(F.col("mediator").isNull(), F.array("u", "v")).otherwise(F.array("u", "mediator", "v"))
+    chunks = F.when(F.col("chunk_id").isNotNull(), own).otherwise(F.col("evidence"))
+    through = through.select("a", "b", F.lit("mechanism").alias("kind"), "rule", "severity", path.alias("path"), chunks.alias("chunks"), place(0))
+
+    to_class = links.where(F.col("relation") == TO_CLASS)
+    bridge = turned.join(member, F.col("v") == F.col("src")).drop("src").join(to_class, (F.col("u") == F.col("src")) & (F.col("cls") == F.col("dst")))
+    bridge = bridge.select("a", "b", F.lit("class").alias("kind"), "rule", "severity", F.array("u", "cls", "v").alias("path"), F.concat(own, "ch").alias("chunks"), place(1, "cls_ord"))
+
+    sides = [member.select(F.col("src").alias(n), F.col("cls").alias(f"c{n}"), F.col("cls_ord").alias(f"o{n}"), F.col("ch").alias(f"h{n}")) for n in ("a", "b")]
+    classes = asked.join(sides[0], "a").join(sides[1], "b")
+    ends = [to_class.withColumns({"ca": F.col(x), "cb": F.col(y), "turn": F.lit(t)}) for t, (x, y) in enumerate((("src", "dst"), ("dst", "src")))]
+    both = classes.join(ends[0].unionByName(ends[1]), ["ca", "cb"])
+    both = both.select("a", "b", F.lit("class_class").alias("kind"), "rule", "severity", F.array("a", "ca", "cb", "b").alias("path"), F.concat(own, "ha", "hb").alias("chunks"), place(2, "oa", "ob"))
+    return {"direct": asserted, "mechanism": through, "class": bridge, "class_class": both}
+
+
+def pair_findings(edge_rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Findings of all legs for each pair (a, b), once for each kind, rule and severity, ranked: FINDING, hops, rank."""
+    legs = list(pair_legs(edge_rows, pairs).values())
+    every = legs[0]
+    for leg in legs[1:]:
+        every = every.unionByName(leg)
+    return ranked_findings(every.withColumn("hops", F.size("path") - 1))
+
+
 def ranked_findings(findings: DataFrame) -> DataFrame:
     """Findings once for each (kind, rule, unordered pair, severity), ranked in their pair by severity, hops and kind.
 

@@ -371,14 +371,19 @@ inf0 AS (SELECT a, b, m, ra, rb, ia, ib, CASE WHEN ra = 'INDUZ' THEN 'R2' WHEN m
 inf AS (SELECT *, CASE WHEN rule = 'R4' THEN 'contraindicado' WHEN rb = 'ATIVADO_POR' THEN CASE WHEN ia = 'forte' THEN 'contraindicado' ELSE 'grave' END WHEN ia = 'forte' AND ib = 'sensivel' THEN 'contraindicado' WHEN ia = 'forte' OR ib = 'sensivel' THEN 'grave' ELSE 'moderada' END AS severity FROM inf0)"""
 
 
-def inferred(spark, d):
-    s, c = read(spark, d, "supplier"), read(spark, d, "customer")
-    mods = s.select(
+def modulators(spark, d):
+    return read(spark, d, "supplier").select(
         F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("m"), F.when(F.col("s_suppkey") % 3 == 0, "INDUZ").otherwise("INIBE").alias("relation_a"),
         F.when(F.col("s_acctbal") > 6000, "forte").when(F.col("s_acctbal") > 1000, "moderada").otherwise("fraca").alias("intensity_a"), (F.col("s_nationkey") == 7).alias("special"),
     )
-    targets = c.select(F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("m"), F.when(F.col("c_mktsegment") == "BUILDING", "ATIVADO_POR").otherwise("SUBSTRATO_DE").alias("relation_b"), F.when(F.col("c_acctbal") > 5000, "sensivel").otherwise("moderada").alias("intensity_b"))
-    return g.mediated(mods, targets)
+
+
+def inferred(spark, d):
+    targets = read(spark, d, "customer").select(
+        F.col("c_custkey").alias("b"), F.col("c_nationkey").alias("m"), F.when(F.col("c_mktsegment") == "BUILDING", "ATIVADO_POR").otherwise("SUBSTRATO_DE").alias("relation_b"),
+        F.when(F.col("c_acctbal") > 5000, "sensivel").otherwise("moderada").alias("intensity_b"),
+    )
+    return g.mediated(modulators(spark, d), targets)
 
 
 @query(f"WITH {INFER} SELECT m AS mediator, rule, severity, count(*) AS n, count(DISTINCT a) AS n_sources, count(DISTINCT b) AS n_targets FROM inf GROUP BY ALL")
@@ -386,70 +391,129 @@ def mediator_inference(spark, d):
     return inferred(spark, d).groupBy(F.col("m").alias("mediator"), "rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_sources"), F.countDistinct("b").alias("n_targets"))
 
 
-@query(f"WITH {INFER} SELECT a, b, list_aggregate(list_sort(list_distinct(['s' || a, 'c' || b])), 'string_agg', ',') AS chunks FROM inf WHERE rule IN ('R3', 'R4')")
+@query(f"""WITH {ONCE}, {EDGES}, {INFER}, lk AS (SELECT DISTINCT src, dst, substr(key, 12) AS chunk_id FROM ed WHERE key LIKE 'LOCATED_IN|%'),
+nm AS (SELECT a, b, 'Supplier::' || lower(s_name) AS u, 'Customer::' || lower(c_name) AS v, 'Nation::' || lower(n_name) AS hub, rule FROM inf JOIN supplier ON s_suppkey = a JOIN customer ON c_custkey = b JOIN nation ON n_nationkey = m)
+SELECT a, b, rule, array_to_string(list_sort(list_distinct(list(chunk_id))), ',') AS chunks FROM nm JOIN lk ON dst = hub AND src IN (u, v) GROUP BY a, b, rule""")
 def inferred_edge_evidence(spark, d):
-    e = inferred(spark, d).where("rule in ('R3', 'R4')")
-    chunks = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("s"), F.col("a").cast("string")), F.concat(F.lit("c"), F.col("b").cast("string")))))
-    return e.select("a", "b", F.array_join(chunks, ",").alias("chunks"))
-
-
-#: Requested pairs (supplier, part) and the legs that link them.
-PAIRS = """pr AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey % 50 = 0),
-ty AS (SELECT p_partkey, p_type, p_partkey % 2 AS half FROM part),
-direct AS (SELECT a, b, CASE WHEN max(l_quantity) > 40 THEN 'grave' ELSE 'leve' END AS severity, min(l_orderkey)::BIGINT AS ord FROM pr JOIN lineitem ON l_suppkey = a AND l_partkey = b GROUP BY a, b),
-rules AS (SELECT DISTINCT l_suppkey AS a, p_type FROM lineitem JOIN ty ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity > 45),
-byclass AS (SELECT pr.a, pr.b, 'moderada' AS severity, pr.b::BIGINT AS ord FROM pr JOIN ty ON p_partkey = pr.b JOIN rules r ON r.a = pr.a AND r.p_type = ty.p_type),
-cc AS (SELECT DISTINCT n_regionkey AS ca, p_type AS cb FROM supplier JOIN nation ON n_nationkey = s_nationkey, part WHERE (length(p_type) + n_regionkey) % 5 = 0),
-classclass AS (SELECT pr.a, pr.b, 'leve' AS severity, pr.b::BIGINT AS ord FROM pr JOIN supplier ON s_suppkey = pr.a JOIN nation ON n_nationkey = s_nationkey JOIN ty ON p_partkey = pr.b JOIN cc ON ca = n_regionkey AND cb = p_type),
-fi AS (SELECT 'direct' AS kind, a, b, severity, 1 AS hops, ord FROM direct UNION ALL SELECT 'class', a, b, severity, 2, ord FROM byclass UNION ALL SELECT 'class_class', a, b, severity, 3, ord FROM classclass)"""
-RANKED = PAIRS + """, rf AS (SELECT kind, a, b, severity, hops, row_number() OVER (PARTITION BY a, b ORDER BY CASE severity WHEN 'contraindicado' THEN 4 WHEN 'grave' THEN 3 WHEN 'moderada' THEN 2 WHEN 'leve' THEN 1 ELSE 0 END DESC, hops, CASE kind WHEN 'direct' THEN 0 WHEN 'class' THEN 2 ELSE 3 END, ord) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY kind, a, b, severity ORDER BY ord) AS n FROM fi) WHERE n = 1)"""
-
-
-def legs(spark, d):
-    li, p, s, n = (read(spark, d, x) for x in ("lineitem", "part", "supplier", "nation"))
-    pairs = li.where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    types = p.select("p_partkey", "p_type")
-    direct = li.join(pairs, (li["l_suppkey"] == pairs["a"]) & (li["l_partkey"] == pairs["b"])).groupBy("a", "b").agg(F.when(F.max("l_quantity") > 40, "grave").otherwise("leve").alias("severity"), F.min("l_orderkey").cast("long").alias("ord"))
-    rules = li.where("l_returnflag = 'R' and l_quantity > 45").join(types, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("a"), "p_type").distinct()
-    typed = pairs.join(types, F.col("b") == F.col("p_partkey"))
-    by_class = typed.join(rules, ["a", "p_type"]).select("a", "b", F.lit("moderada").alias("severity"), F.col("b").cast("long").alias("ord"))
-    home = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", F.col("n_regionkey").alias("ca"))
-    cc = home.select("ca").distinct().join(types.select(F.col("p_type").alias("cb")).distinct(), (F.length("cb") + F.col("ca")) % 5 == 0)
-    class_class = typed.join(home, F.col("a") == F.col("s_suppkey")).join(cc, (home["ca"] == cc["ca"]) & (F.col("p_type") == F.col("cb"))).select("a", "b", F.lit("leve").alias("severity"), F.col("b").cast("long").alias("ord"))
-    return {"direct": direct, "class": by_class, "class_class": class_class}
+    s, c, n = (read(spark, d, x) for x in ("supplier", "customer", "nation"))
+    node = lambda kind, name: F.concat(F.lit(f"{kind}::"), F.lower(name))
+    e = inferred(spark, d).select("a", "b", "m", "rule").join(s, F.col("a") == F.col("s_suppkey")).join(c, F.col("b") == F.col("c_custkey")).join(n, F.col("m") == F.col("n_nationkey"))
+    e = e.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "rule", node("Supplier", "s_name").alias("a"), node("Customer", "c_name").alias("b"), node("Nation", "n_name").alias("mediator"))
+    links = g.edges(clean_triples(spark, d).where("relation = 'LOCATED_IN'")).select("src", "dst", F.element_at(F.split("key", r"\|"), 2).alias("chunk_id"))
+    return g.evidence(e, links).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "rule", F.array_join("evidence", ",").alias("chunks"))
+
+
+#: All pairs (supplier, part) of the line items, and one table of edges that links them: sales interact, parts belong to
+#: types and suppliers to regions, large returned sales link a supplier to a type, and a nation mediates between both.
+PAIRS = f"""{INFER}, pr AS (SELECT DISTINCT 's:' || l_suppkey AS a, 'p:' || l_partkey AS b FROM lineitem),
+tp AS (SELECT p_partkey, p_size % 25 AS m, CASE WHEN p_partkey % 2 = 0 THEN 'ATIVADO_POR' ELSE 'SUBSTRATO_DE' END AS rb, CASE WHEN p_size > 25 THEN 'sensivel' ELSE 'moderada' END AS ib FROM part),
+me0 AS (SELECT pr.a AS src, pr.b AS dst, m, ra, rb, ia, ib, CASE WHEN ra = 'INDUZ' THEN 'R2' WHEN m = 7 THEN 'R4' WHEN rb = 'ATIVADO_POR' THEN 'R3' ELSE 'R1' END AS rule
+  FROM pr JOIN mo ON pr.a = 's:' || mo.a JOIN tp USING (m) WHERE pr.b = 'p:' || p_partkey AND ia IN ('forte', 'moderada') AND (ra <> 'INDUZ' OR ia = 'forte')),
+ge AS (SELECT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst, 'INTERAGE_COM' AS relation, 'asserted' AS origin, CASE WHEN l_quantity > 40 THEN 'grave' ELSE 'leve' END AS severity,
+  NULL::VARCHAR AS rule, NULL::VARCHAR AS mediator, 'l' || l_orderkey AS chunk_id, (l_orderkey * 10 + l_linenumber)::BIGINT AS ord FROM lineitem
+UNION ALL SELECT 's:' || l_suppkey, 't:' || p_type, 'INTERAGE_COM_CLASSE', 'asserted', 'moderada', NULL, NULL, 'l' || l_orderkey, l_orderkey * 10 + l_linenumber FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity > 45
+UNION ALL SELECT 'p:' || p_partkey, 't:' || p_type, 'E_DA_CLASSE', 'asserted', NULL, NULL, NULL, 'p' || p_partkey, p_partkey FROM part
+UNION ALL SELECT 's:' || s_suppkey, 'r:' || n_regionkey, 'E_DA_CLASSE', 'asserted', NULL, NULL, NULL, 's' || s_suppkey, s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT DISTINCT 'r:' || r_regionkey, 't:' || p_type, 'INTERAGE_COM_CLASSE', 'asserted', 'leve', NULL, NULL, NULL, r_regionkey FROM region, part WHERE (length(p_type) + r_regionkey) % 5 = 0
+UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'LOCATED_IN', 'asserted', NULL, NULL, NULL, 's' || s_suppkey, s_suppkey FROM supplier
+UNION ALL SELECT 'p:' || p_partkey, 'n:' || p_size % 25, 'LOCATED_IN', 'asserted', NULL, NULL, NULL, 'p' || p_partkey, p_partkey FROM part
+UNION ALL SELECT src, dst, 'INTERAGE_COM', 'inferred', CASE WHEN rule = 'R4' THEN 'contraindicado' WHEN rb = 'ATIVADO_POR' THEN CASE WHEN ia = 'forte' THEN 'contraindicado' ELSE 'grave' END WHEN ia = 'forte' AND ib = 'sensivel' THEN 'contraindicado' WHEN ia = 'forte' OR ib = 'sensivel' THEN 'grave' ELSE 'moderada' END, rule, 'n:' || m, NULL, 0 FROM me0),
+e1 AS (SELECT src, dst, relation, origin, severity, rule, mediator, min(ord) AS ord, min_by(chunk_id, ord) AS chunk_id FROM ge GROUP BY ALL),
+mb AS (SELECT src, dst AS cls, min(ord) AS cls_ord, list_sort(list_distinct(list(chunk_id))) AS ch FROM ge WHERE relation = 'E_DA_CLASSE' GROUP BY ALL),
+hb AS (SELECT src, dst, list(DISTINCT chunk_id) AS ch FROM ge WHERE relation = 'LOCATED_IN' GROUP BY ALL),
+tw AS (SELECT a, b, a AS u, b AS v, 0 AS turn FROM pr UNION ALL SELECT a, b, b, a, 1 FROM pr),
+f1 AS (SELECT a, b, CASE origin WHEN 'inferred' THEN 'mechanism' ELSE 'direct' END AS kind, rule, severity, CASE WHEN mediator IS NULL THEN [u, v] ELSE [u, mediator, v] END AS path,
+  CASE WHEN e1.chunk_id IS NOT NULL THEN [e1.chunk_id] ELSE list_sort(list_distinct(list_concat(coalesce(x.ch, []), coalesce(y.ch, [])))) END AS chunks, [0, turn, 0, 0, e1.ord] AS ord
+  FROM tw JOIN e1 ON e1.src = u AND e1.dst = v AND relation = 'INTERAGE_COM' LEFT JOIN hb x ON x.src = u AND x.dst = mediator LEFT JOIN hb y ON y.src = v AND y.dst = mediator),
+f2 AS (SELECT a, b, 'class' AS kind, rule, severity, [u, cls, v] AS path, list_concat([chunk_id], ch) AS chunks, [1, turn, cls_ord, 0, e1.ord] AS ord FROM tw JOIN mb ON mb.src = v JOIN e1 ON e1.src = u AND e1.dst = cls AND relation = 'INTERAGE_COM_CLASSE'),
+c2 AS (SELECT src AS ca, dst AS cb, 0 AS turn, * FROM e1 WHERE relation = 'INTERAGE_COM_CLASSE' UNION ALL SELECT dst, src, 1, * FROM e1 WHERE relation = 'INTERAGE_COM_CLASSE'),
+f3 AS (SELECT a, b, 'class_class' AS kind, rule, severity, [a, ca, cb, b] AS path, list_concat(list_concat(CASE WHEN chunk_id IS NULL THEN [] ELSE [chunk_id] END, x.ch), y.ch) AS chunks, [2, turn, x.cls_ord, y.cls_ord, c2.ord] AS ord
+  FROM pr JOIN mb x ON x.src = a JOIN mb y ON y.src = b JOIN c2 ON ca = x.cls AND cb = y.cls),
+fi AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3)"""
+SHOWN = "array_to_string(path, '>') AS path, array_to_string(chunks, ',') AS chunks"
+RANKED = PAIRS + """, rf AS (SELECT *, len(path) - 1 AS hops, row_number() OVER (PARTITION BY a, b ORDER BY CASE severity WHEN 'contraindicado' THEN 4 WHEN 'grave' THEN 3 WHEN 'moderada' THEN 2 WHEN 'leve' THEN 1 ELSE 0 END DESC, len(path), CASE kind WHEN 'direct' THEN 0 WHEN 'mechanism' THEN 1 WHEN 'class' THEN 2 ELSE 3 END, ord) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY kind, rule, a, b, severity ORDER BY ord) AS n FROM fi) WHERE n = 1)"""
+
+
+def key_node(kind, column):
+    return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+
+
+def pairs(spark, d):
+    return read(spark, d, "lineitem").select(key_node("s", "l_suppkey").alias("a"), key_node("p", "l_partkey").alias("b")).distinct()
+
+
+def pair_edges(spark, d):
+    """The edges of PAIRS: src, dst, relation, origin, severity, rule, mediator, chunk_id, ord."""
+    li, p, s, n, r = (read(spark, d, x) for x in ("lineitem", "part", "supplier", "nation", "region"))
+
+    def rows(df, src, dst, relation, severity=None, chunk=None, ord_=None):
+        null = F.lit(None).cast("string")
+        severity = null if severity is None else severity if not isinstance(severity, str) else F.lit(severity)
+        return df.select(
+            src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.lit("asserted").alias("origin"), severity.alias("severity"), null.alias("rule"), null.alias("mediator"),
+            (null if chunk is None else F.concat(F.lit(chunk[0]), F.col(chunk[1]).cast("string"))).alias("chunk_id"), ord_.cast("long").alias("ord"),
+        )
+
+    sold, sale = F.col("l_orderkey") * 10 + F.col("l_linenumber"), ("l", "l_orderkey")
+    returned = li.where("l_returnflag = 'R' and l_quantity > 45").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    allowed = r.join(p.select("p_type").distinct(), (F.length("p_type") + F.col("r_regionkey")) % 5 == 0)
+    nation = F.concat(F.lit("n:"), (F.col("p_size") % 25).cast("string"))
+    parts = [
+        rows(li, key_node("s", "l_suppkey"), key_node("p", "l_partkey"), g.DIRECT, F.when(F.col("l_quantity") > 40, "grave").otherwise("leve"), sale, sold),
+        rows(returned, key_node("s", "l_suppkey"), key_node("t", "p_type"), g.TO_CLASS, "moderada", sale, sold),
+        rows(p, key_node("p", "p_partkey"), key_node("t", "p_type"), g.MEMBER, None, ("p", "p_partkey"), F.col("p_partkey")),
+        rows(s.join(n, s["s_nationkey"] == n["n_nationkey"]), key_node("s", "s_suppkey"), key_node("r", "n_regionkey"), g.MEMBER, None, ("s", "s_suppkey"), F.col("s_suppkey")),
+        rows(allowed, key_node("r", "r_regionkey"), key_node("t", "p_type"), g.TO_CLASS, "leve", None, F.col("r_regionkey")),
+        rows(s, key_node("s", "s_suppkey"), key_node("n", "s_nationkey"), "LOCATED_IN", None, ("s", "s_suppkey"), F.col("s_suppkey")),
+        rows(p, key_node("p", "p_partkey"), nation, "LOCATED_IN", None, ("p", "p_partkey"), F.col("p_partkey")),
+    ]
+    mods = modulators(spark, d).withColumn("a", key_node("s", "a"))
+    targets = p.select(
+        key_node("p", "p_partkey").alias("b"), (F.col("p_size") % 25).alias("m"), F.when(F.col("p_partkey") % 2 == 0, "ATIVADO_POR").otherwise("SUBSTRATO_DE").alias("relation_b"),
+        F.when(F.col("p_size") > 25, "sensivel").otherwise("moderada").alias("intensity_b"),
+    )
+    implied = g.mediated(mods, targets, pairs(spark, d)).select(
+        F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(g.DIRECT).alias("relation"), F.lit("inferred").alias("origin"), "severity", "rule", key_node("n", "m").alias("mediator"),
+        F.lit(None).cast("string").alias("chunk_id"), F.lit(0).cast("long").alias("ord"),
+    )
+    out = implied
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def findings(spark, d):
-    out = None
-    for hops, (kind, leg) in enumerate(legs(spark, d).items(), 1):
-        one = leg.withColumns({"kind": F.lit(kind), "rule": F.lit(None).cast("string"), "hops": F.lit(hops)})
-        out = one if out is None else out.unionByName(one)
-    # Suppliers and parts share a number space here, so the pair is kept apart by its order.
-    tagged = out.withColumns({"a": F.concat(F.lit("s:"), F.col("a").cast("string")), "b": F.concat(F.lit("t:"), F.col("b").cast("string"))})
-    ranked = g.ranked_findings(tagged)
-    number = lambda c: F.element_at(F.split(c, ":"), -1).cast("long")
-    return ranked.select("kind", number("a").alias("a"), number("b").alias("b"), "severity", "hops", "rank")
+    return g.pair_findings(pair_edges(spark, d), pairs(spark, d))
 
 
-@query(f"WITH {PAIRS} SELECT * FROM direct")
+def shown(df, *more):
+    return df.select("a", "b", *more, F.array_join("path", ">").alias("path"), F.array_join("chunks", ",").alias("chunks"))
+
+
+@query(f"WITH {PAIRS} SELECT a, b, severity, {SHOWN} FROM f1 WHERE kind = 'direct'")
 def pair_direct(spark, d):
-    return legs(spark, d)["direct"]
+    return shown(g.pair_legs(pair_edges(spark, d), pairs(spark, d))["direct"], "severity")
+
+
+@query(f"WITH {PAIRS} SELECT a, b, rule, severity, {SHOWN} FROM f1 WHERE kind = 'mechanism'")
+def pair_mechanism(spark, d):
+    return shown(g.pair_legs(pair_edges(spark, d), pairs(spark, d))["mechanism"], "rule", "severity")
 
 
-@query(f"WITH {PAIRS} SELECT * FROM byclass")
+@query(f"WITH {PAIRS} SELECT a, b, severity, {SHOWN} FROM f2")
 def pair_class_bridge(spark, d):
-    return legs(spark, d)["class"]
+    return shown(g.pair_legs(pair_edges(spark, d), pairs(spark, d))["class"], "severity")
 
 
-@query(f"WITH {PAIRS} SELECT * FROM classclass")
+@query(f"WITH {PAIRS} SELECT a, b, severity, {SHOWN} FROM f3")
 def pair_class_class(spark, d):
-    return legs(spark, d)["class_class"]
+    return shown(g.pair_legs(pair_edges(spark, d), pairs(spark, d))["class_class"], "severity")
 
 
-@query(f"WITH {RANKED} SELECT * FROM rf")
+@query(f"WITH {RANKED} SELECT a, b, kind, rule, severity, hops, rank, {SHOWN} FROM rf")
 def pair_findings_ranked(spark, d):
-    return findings(spark, d)
+    return shown(findings(spark, d), "kind", "rule", "severity", "hops", "rank")
 
 
 @query(f"WITH {RANKED} SELECT a, b, max_by(severity, CASE severity WHEN 'contraindicado' THEN 4 WHEN 'grave' THEN 3 WHEN 'moderada' THEN 2 ELSE 1 END) AS severity, count(*) AS n FROM rf GROUP BY a, b")
@@ -586,17 +650,16 @@ def paired_bootstrap_p(spark, d):
 ABLATION = [("full", True, True), ("no_inference", True, False), ("no_walk", False, True), ("hybrid_only", False, False)]
 
 
-@query(f"""WITH {RANKED}, {INFER}, cfg(config, walk, infer) AS (VALUES {", ".join(f"('{c}', {str(w).lower()}, {str(i).lower()})" for c, w, i in ABLATION)}),
-cov AS (SELECT config, pr.a, pr.b, p_type AS type, (EXISTS (SELECT 1 FROM rf WHERE rf.a = pr.a AND rf.b = pr.b AND (walk OR kind = 'direct') AND (infer OR kind <> 'class')))::INT AS covered FROM cfg, pr JOIN ty ON p_partkey = pr.b)
+@query(f"""WITH {RANKED}, cfg(config, walk, infer) AS (VALUES {", ".join(f"('{c}', {str(w).lower()}, {str(i).lower()})" for c, w, i in ABLATION)}),
+kd AS (SELECT a, b, list(DISTINCT kind) AS kinds FROM rf GROUP BY a, b),
+cov AS (SELECT config, p_type AS type, (len(list_filter(coalesce(kinds, []), lambda k: (walk OR k = 'direct') AND (infer OR k <> 'mechanism'))) > 0)::INT AS covered FROM cfg, pr JOIN part ON b = 'p:' || p_partkey LEFT JOIN kd USING (a, b))
 SELECT config, type, round(avg(covered), 4) AS coverage, count(*) AS n FROM cov GROUP BY GROUPING SETS ((config, type), (config))""")
 def ablation_grid(spark, d):
-    f = findings(spark, d).select("a", "b", "kind")
-    pairs = read(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    typed = pairs.join(read(spark, d, "part").select(F.col("p_partkey").alias("b"), F.col("p_type").alias("type")), "b")
-    flags = f.groupBy("a", "b").agg(F.collect_set("kind").alias("kinds"))
+    typed = pairs(spark, d).join(read(spark, d, "part").select(key_node("p", "p_partkey").alias("b"), F.col("p_type").alias("type")), "b")
+    flags = findings(spark, d).groupBy("a", "b").agg(F.collect_set("kind").alias("kinds"))
     rows = typed.join(flags, ["a", "b"], "left")
     configs = spark.createDataFrame(ABLATION, "config string, walk boolean, infer boolean")
-    allowed = F.filter(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: (F.col("walk") | (k == "direct")) & (F.col("infer") | (k != "class")))
+    allowed = F.filter(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: (F.col("walk") | (k == "direct")) & (F.col("infer") | (k != "mechanism")))
     scored = rows.crossJoin(F.broadcast(configs)).withColumn("covered", (F.size(allowed) > 0).cast("int"))  # four configurations
     return scored.groupingSets([["config", "type"], ["config"]], "config", "type").agg(F.round(F.avg("covered"), 4).alias("coverage"), F.count("*").alias("n"))
 
@@ -613,8 +676,7 @@ def answer_compose(spark, d):
     f = findings(spark, d).where("rank <= 4")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "kind", "severity"))), lambda x: F.concat(x["kind"], F.lit(":"), x["severity"])), "; ")
     best = f.groupBy("a", "b").agg(F.min_by("severity", "rank").alias("top"), listed.alias("listed"))
-    pairs = read(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    return pairs.join(best, ["a", "b"], "left").select("a", "b", F.coalesce(F.concat(F.upper("top"), F.lit(": "), "listed"), F.lit("no finding")).alias("answer"))
+    return pairs(spark, d).join(best, ["a", "b"], "left").select("a", "b", F.coalesce(F.concat(F.upper("top"), F.lit(": "), "listed"), F.lit("no finding")).alias("answer"))
 
 
 @query(f"""WITH {BM25_SQL}, {ranked_sql('s', 5)}, {CONTAINS}, ex AS (SELECT query_id, doc_id FROM gold WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM r))
