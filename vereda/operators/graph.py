@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +64,33 @@ def statistics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df from the session's checkpoint folder, so that later steps neither repeat its plan nor carry its lineage.
+
+    The folder is spark.checkpoint.dir; only a local session without one gets a folder of its own.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='vereda-')}")
+    return df.checkpoint()
+
+
 def neighbourhood(edge_rows: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(seed, id, hop): nodes within `hops` undirected steps, with the least number. seeds: (seed, id), ids on edges."""
-    both = edge_rows.select("src", "dst").unionAll(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    """(seed, id, hop): nodes within `hops` undirected steps, with the least number. seeds: (seed, id), ids on edges.
+
+    The steps and each frontier are stored once, so hop n does not repeat the hops before it; an empty frontier ends the walk.
+    """
+    both = stored(edge_rows.select("src", "dst").unionAll(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     seen = seeds.select("seed", "id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):
         step = frontier.join(both, frontier["id"] == both["src"]).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stored(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -331,16 +331,12 @@ def graph_stats(spark, d):
     return g.statistics(g.nodes(t), g.edges(t))
 
 
-KHOP = """un AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM ed WHERE relation <> 'SUPPLIES' UNION ALL SELECT dst, src FROM ed WHERE relation <> 'SUPPLIES')),
+KHOP = """un AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed)),
 h0 AS (SELECT DISTINCT 'Supplier::' || lower(s_name) AS id FROM supplier WHERE s_suppkey % 20 = 0), h1 AS (SELECT DISTINCT h0.id AS seed, dst AS id FROM h0 JOIN un ON src = h0.id),
 h2 AS (SELECT DISTINCT seed, dst AS id FROM h1 JOIN un ON src = h1.id), h3 AS (SELECT DISTINCT seed, dst AS id FROM h2 JOIN un ON src = h2.id),
 kh AS (SELECT seed, id, min(hop) AS hop FROM (SELECT id AS seed, id, 0 AS hop FROM h0 UNION ALL SELECT seed, id, 1 FROM h1 UNION ALL SELECT seed, id, 2 FROM h2 UNION ALL SELECT seed, id, 3 FROM h3) GROUP BY ALL)"""
 
 
-def place_edges(spark, d):
-    return g.edges(clean_triples(spark, d).where("relation <> 'SUPPLIES'"))
-
-
 def supplier_seeds(spark, d):
     id_ = F.concat(F.lit("Supplier::"), F.lower("s_name"))
     return read(spark, d, "supplier").where("s_suppkey % 20 = 0").select(id_.alias("seed"), id_.alias("id"))
@@ -348,12 +344,12 @@ def supplier_seeds(spark, d):
 
 @query(f"WITH {ONCE}, {EDGES}, {KHOP} SELECT seed, id, hop FROM kh")
 def khop_neighborhood(spark, d):
-    return g.neighbourhood(place_edges(spark, d), supplier_seeds(spark, d), 3)
+    return g.neighbourhood(g.edges(clean_triples(spark, d)), supplier_seeds(spark, d), 3)
 
 
-@query(f"WITH {ONCE}, {EDGES}, {KHOP}, ch AS (SELECT DISTINCT id FROM kh WHERE hop <= 2) SELECT src, dst, key, relation, origin FROM ed WHERE relation <> 'SUPPLIES' AND src IN (SELECT id FROM ch) AND dst IN (SELECT id FROM ch)")
+@query(f"WITH {ONCE}, {EDGES}, {KHOP}, ch AS (SELECT DISTINCT id FROM kh WHERE hop <= 2) SELECT src, dst, key, relation, origin FROM ed WHERE src IN (SELECT id FROM ch) AND dst IN (SELECT id FROM ch)")
 def induced_subgraph(spark, d):
-    e = place_edges(spark, d)
+    e = g.stored(g.edges(clean_triples(spark, d)))
     return g.induced(e, g.neighbourhood(e, supplier_seeds(spark, d), 2))
 
 
@@ -626,25 +622,25 @@ DRAW = "('0x' || substr(md5(b || ':' || i), 1, 8))::BIGINT % n"
 
 
 @query(f"""WITH {METRICS}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS j, mrr AS x FROM met WHERE system = 'bm25'), n AS (SELECT count(*) AS n FROM v),
-dr AS (SELECT b, {DRAW} AS j FROM range(500) r(b), n, range((SELECT n FROM n)) q(i)), me AS (SELECT b, avg(x) AS mean FROM dr JOIN v USING (j) GROUP BY b)
+dr AS (SELECT b, {DRAW} AS j FROM range(2000) r(b), n, range((SELECT n FROM n)) q(i)), me AS (SELECT b, avg(x) AS mean FROM dr JOIN v USING (j) GROUP BY b)
 SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS replicates FROM me""")
 def bootstrap_ci(spark, d):
     m = metrics(spark, d).where("system = 'bm25'")
     v = m.select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("i"), F.col("mrr").alias("x"))
-    means = rt.bootstrap(v, 500)
+    means = rt.bootstrap(v, 2000)
     return means.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"), F.count("*").alias("replicates"))
 
 
 @query(f"""WITH {METRICS}, df AS (SELECT query_id, sum(CASE WHEN system = 'bm25' THEN mrr ELSE -mrr END) AS x FROM met GROUP BY query_id), o AS (SELECT avg(x) AS obs, count(*) AS n FROM df),
-v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS j, x - obs AS x FROM df, o), dr AS (SELECT b, {DRAW} AS j FROM range(500) r(b), o, range((SELECT n FROM o)) q(i)), me AS (SELECT b, avg(x) AS mean FROM dr JOIN v USING (j) GROUP BY b)
-SELECT round(max(obs), 6) AS delta, round((count(*) FILTER (WHERE round(abs(mean), 9) >= round(abs(obs), 9)) + 1) / 501, 5) AS p FROM me, o""")
+v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS j, x - obs AS x FROM df, o), dr AS (SELECT b, {DRAW} AS j FROM range(5000) r(b), o, range((SELECT n FROM o)) q(i)), me AS (SELECT b, avg(x) AS mean FROM dr JOIN v USING (j) GROUP BY b)
+SELECT round(max(obs), 6) AS delta, round((count(*) FILTER (WHERE round(abs(mean), 9) >= round(abs(obs), 9)) + 1) / 5001, 5) AS p FROM me, o""")
 def paired_bootstrap_p(spark, d):
     diff = metrics(spark, d).groupBy("query_id").agg(F.sum(F.when(F.col("system") == "bm25", F.col("mrr")).otherwise(-F.col("mrr"))).alias("x"))
     obs = diff.agg(F.avg("x").alias("obs"))
     v = diff.crossJoin(F.broadcast(obs)).select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("i"), (F.col("x") - F.col("obs")).alias("x"))
-    means = rt.bootstrap(v, 500).crossJoin(F.broadcast(obs))
+    means = rt.bootstrap(v, 5000).crossJoin(F.broadcast(obs))
     beyond = F.count_if(F.round(F.abs("mean"), 9) >= F.round(F.abs("obs"), 9))
-    return means.agg(F.round(F.max("obs"), 6).alias("delta"), F.round((beyond + 1) / 501, 5).alias("p"))
+    return means.agg(F.round(F.max("obs"), 6).alias("delta"), F.round((beyond + 1) / 5001, 5).alias("p"))
 
 
 ABLATION = [("full", True, True), ("no_inference", True, False), ("no_walk", False, True), ("hybrid_only", False, False)]
@@ -686,11 +682,11 @@ def evidence_append(spark, d):
 
 
 @query("""WITH c AS (SELECT p_type, p_brand, min(p_name) AS member FROM part GROUP BY ALL), q AS (SELECT p_type, p_brand, member, row_number() OVER (ORDER BY p_type, p_brand) AS n FROM c)
-SELECT 'q' || lpad(n::VARCHAR, 3, '0') AS question_id, 'Which ' || lower(p_type) || ' of ' || p_brand || ' comes first?' AS text, member AS answer FROM q WHERE n <= 200""")
+SELECT 'q' || lpad(n::VARCHAR, 6, '0') AS question_id, 'Which ' || lower(p_type) || ' of ' || p_brand || ' comes first?' AS text, member AS answer FROM q""")
 def gold_questions(spark, d):
-    c = read(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_name").alias("member")).orderBy("p_type", "p_brand").limit(200)
+    c = read(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_name").alias("member"))
     n = F.row_number().over(Window.orderBy("p_type", "p_brand"))
-    return c.select(F.concat(F.lit("q"), F.lpad(n.cast("string"), 3, "0")).alias("question_id"), F.concat(F.lit("Which "), F.lower("p_type"), F.lit(" of "), "p_brand", F.lit(" comes first?")).alias("text"), F.col("member").alias("answer"))
+    return c.select(F.concat(F.lit("q"), F.lpad(n.cast("string"), 6, "0")).alias("question_id"), F.concat(F.lit("Which "), F.lower("p_type"), F.lit(" of "), "p_brand", F.lit(" comes first?")).alias("text"), F.col("member").alias("answer"))
 
 
 @query("SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_sources, sum(len(string_split_regex(trim(text), '\\s+')))::BIGINT AS n_words FROM documents WHERE trim(text) <> ''")
