@@ -171,6 +171,47 @@ def test_line_dedup_keeps_the_first(spark):
     assert line_dedup.kept_text(f"{line}\nown words here é".encode(), [s.asDict() for s in got[3]]).decode() == "own words here é"
 
 
+def test_line_dedup_takes_whole_lines_before_sentences(spark):
+    short = "Menu one. Menu two. Menu three."
+    shared = "these six words come in both"
+    texts = [f"{short}\nnew. {shared}. tail", f"head here\n{short}\nother. {shared}. end", f"{short} more. {shared}"]
+    got = {r.doc_id: r.spans for r in line_dedup.remove_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kept = [line_dedup.kept_text(x.encode(), [s.asDict() for s in got[i]]).decode() for i, x in enumerate(texts)]
+    assert kept == [texts[0], "head here\nother. end", f"{short} more. "]
+
+
+def test_line_dedup_equals_plain_version(spark):
+    import random
+    import re
+
+    rnd = random.Random(5)
+    sentence = lambda: " ".join(rnd.choice("a b Ab é 1 x-y".split()) for _ in range(rnd.choice((2, 3, 6)))) + rnd.choice((".", "!", ""))
+    pool = [sentence() for _ in range(12)]
+    texts = ["\n".join(" ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 3))) for _ in range(rnd.randint(0, 5))) for _ in range(60)]
+    words = lambda x: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate({c: c + 32 for c in range(65, 91)})))
+    want, seen, rest = {}, set(), []
+    for i, text in enumerate(texts):
+        at = 0
+        for line in text.split("\n"):
+            w, size = words(line), len(line.encode())
+            if len(w) >= 4 and w in seen:
+                want.setdefault(i, []).append(at)
+            else:
+                rest.append((i, at, line))
+                seen |= {w} if len(w) >= 4 else set()
+            at += size + 1
+    seen = set()
+    for i, at, line in rest:
+        for part in re.split(r"(?<=[.!?]) ", line):
+            w = words(part)
+            if len(w) >= 4 and w in seen:
+                want.setdefault(i, []).append(at)
+            seen |= {w} if len(w) >= 4 else set()
+            at += len(part.encode()) + 1
+    rows = line_dedup.remove_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: [s.start for s in r.spans] for r in rows if r.spans} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_decontamination_finds_paraphrases(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(400)]
