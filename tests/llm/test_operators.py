@@ -38,6 +38,15 @@ def test_license_scan_places(spark):
     assert got[4].n_base == 0 and got[4].labels == "gpl-3" and 0.6 <= got[4].score < 1
 
 
+def test_license_labels_of_alike_templates(spark):
+    notice = "licensed under the GNU {} public license {}"
+    texts = [notice.format("general", x) for x in ("version 2", "version 3", "")] + [notice.format("lesser general", "version 3"), "K\u0130T \u212a under the MIT license"]
+    texts += [" filler ".join([notice.format("general", "version 2"), "word " * 70, notice.format("lesser general", "")])]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["gpl-2", "gpl-3", "gpl", "lgpl", "mit", "gpl-2,lgpl"]
+    assert got[4].n_words == 6
+
+
 def test_license_texts_never_get_base_places_by_chance(spark):
     rnd = random.Random(2)
     words = "under the mit license apache version 2 cc by nc".split()

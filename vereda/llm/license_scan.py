@@ -3,7 +3,8 @@
 Every k consecutive words of a text are hashed and joined to the same k-grams of license templates. A hit of template
 word t at text word p votes for the diagonal p - t. A diagonal with a vote for each of its template's k-grams is a
 verbatim place; neighbouring diagonals (a word added or left out in between) are merged, and the merged span counts if
-it covers enough of the template without being stretched.
+it covers enough of the template without being stretched. Templates that differ in few words all find the same place, so
+of overlapping spans with different labels only that with the largest covered share, then the most votes, counts.
 
 Templates are a fixed list, so the broadcast side has a proven bound; texts are never shuffled.
 
@@ -23,6 +24,7 @@ TEMPLATES = [
     ("cc-by-nc", "cc by nc", True),
     ("gpl-3", "licensed under the gnu general public license version 3", False),
     ("gpl-2", "licensed under the gnu general public license version 2", False),
+    ("gpl", "licensed under the gnu general public license", False),
     ("lgpl", "licensed under the gnu lesser general public license", False),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", False),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", False),
@@ -32,10 +34,13 @@ TEMPLATES = [
 ]
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K, BAND, COVERED, STRETCH = 3, 3, 0.6, 1.5
+#: Words of a stretch of text in which overlapping spans meet.
+CELL = 64
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
 
 
 def _count(words: Column) -> Column:
@@ -87,6 +92,24 @@ def spans(votes: DataFrame, k: int = K, band: int = BAND, covered: float = COVER
     return merged.withColumn("share", share).where((share >= covered) & (F.col("last") - F.col("first") + 1 <= stretch * (F.col("n_grams") + k - 1)))
 
 
+def unbeaten(found: DataFrame, cell: int = CELL) -> DataFrame:
+    """Spans that no overlapping span of another label beats by covered share, then votes.
+
+    Spans meet in stretches of `cell` words, so a group holds at most the spans of one stretch: a few for each template,
+    however long the text.
+    """
+    at = F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))).alias("cell")
+    keys = ["template", "run", "label", "first", "last", "share", "votes"]
+    met = found.select("k1", "k2", at, F.struct(*keys).alias("s")).groupBy("k1", "k2", "cell").agg(F.collect_list("s").alias("all"))
+
+    def beats(o: Column, s: Column) -> Column:
+        better = (o["share"] > s["share"]) | ((o["share"] == s["share"]) & (o["votes"] > s["votes"]))
+        return (o["label"] != s["label"]) & (o["first"] <= s["last"]) & (o["last"] >= s["first"]) & better
+
+    judged = met.select("k1", "k2", F.explode("all").alias("s"), "all").select("k1", "k2", "s.*", F.exists("all", lambda o: beats(o, F.col("s"))).alias("beaten"))
+    return judged.groupBy("k1", "k2", *keys).agg(F.max("beaten").alias("beaten")).where("not beaten").drop("beaten")
+
+
 def scan(docs: DataFrame, templates=None, k: int = K) -> DataFrame:
     """One row per document: n_words, base places and their range, labels and a score (largest covered share)."""
     grams = template_grams(docs.sparkSession, templates, k)
@@ -94,7 +117,7 @@ def scan(docs: DataFrame, templates=None, k: int = K) -> DataFrame:
     base = votes.where(F.col("base") & (F.col("votes") == F.col("n_grams"))).groupBy("k1", "k2").agg(
         F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set")
     )
-    found = spans(votes, k).groupBy("k1", "k2").agg(F.max("share").alias("best"), F.collect_set("label").alias("label_set"), F.count("*").alias("n_spans"))
+    found = unbeaten(spans(votes, k)).groupBy("k1", "k2").agg(F.max("share").alias("best"), F.collect_set("label").alias("label_set"), F.count("*").alias("n_spans"))
     per = base.join(found, ["k1", "k2"], "full")
     none = F.array().cast("array<string>")
     rows = docs.select(
@@ -126,8 +149,10 @@ hits AS (SELECT r, pos, g.* FROM p JOIN grams g ON g.gram = {" || ' ' || ".join(
 votes AS (SELECT r, template, label, base, n_grams, pos - pos0 AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high FROM hits GROUP BY ALL),
 b AS (SELECT r, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base_set FROM votes WHERE base AND votes = n_grams GROUP BY r),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {band} THEN 0 ELSE 1 END AS fresh FROM votes)),
-merged AS (SELECT r, template, label, n_grams, run, least(1.0, sum(votes)::DOUBLE / n_grams) AS share, min(low) AS lo, max(high) + {k - 1} AS hi FROM runs GROUP BY r, template, label, n_grams, run),
-found AS (SELECT r, max(share) AS best, list(DISTINCT label) AS label_set, count(*) AS n_spans FROM merged WHERE share >= {covered} AND hi - lo + 1 <= {stretch} * (n_grams + {k - 1}) GROUP BY r)
+merged AS (SELECT r, template, label, n_grams, run, least(1.0, sum(votes)::DOUBLE / n_grams) AS share, sum(votes) AS v, min(low) AS lo, max(high) + {k - 1} AS hi FROM runs GROUP BY r, template, label, n_grams, run),
+passed AS (SELECT r, template, run, label, share, v, lo, hi FROM merged WHERE share >= {covered} AND hi - lo + 1 <= {stretch} * (n_grams + {k - 1})),
+found AS (SELECT r, max(share) AS best, list(DISTINCT label) AS label_set, count(*) AS n_spans FROM passed s WHERE NOT EXISTS (SELECT 1 FROM passed o
+  WHERE o.r = s.r AND o.label <> s.label AND o.lo <= s.hi AND o.hi >= s.lo AND (o.share > s.share OR (o.share = s.share AND o.v > s.v))) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base_set), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(label_set, [])))), ','), '') AS labels,
