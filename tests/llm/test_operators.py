@@ -297,6 +297,15 @@ def test_chat_links_json_calls(spark):
     assert got[2].faults == "missing b; type a; unknown z"
 
 
+def test_chat_identifiers_are_those_of_their_conversation(spark):
+    rows = [(c, t, r, f"{c} {t}", 1) for c in (None, "null", "a:1", "a") for t, r in ((1, "user"), (2, "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, params int")
+    schema = chat_format.schema_table(spark)
+    linked = chat_format.link(chat_format.from_turns(turns).withColumn("params", F.lit(1)), schema).collect()
+    assert sorted((r.kind, r.linked_turn, r.position) for r in linked) == [("call", 2, 0)] * 4 + [("result", 1, 1)] * 4
+    assert chat_format.link(chat_format.from_turns(turns.limit(0)), schema).count() == 0
+
+
 def test_large_group_of_near_copies_loses_no_link(spark):
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(150)]

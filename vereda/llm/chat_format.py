@@ -85,17 +85,21 @@ def faults(arguments: Column, params: Column) -> Column:
 def link(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, kind, call_id, linked_turn, position, valid, faults, json.
 
-    messages: conv_id, turn, role, text, call_id and result_of (null if none), name, arguments. Identifiers are unique
-    over all conversations.
+    messages: conv_id, turn, role, text, call_id and result_of (null if none), name, arguments. An identifier belongs to
+    its conversation: equal ones of two conversations, null among them, are different calls.
     """
+    messages = messages.select("conv_id", "turn", "role", "text", "call_id", "result_of", "name", "arguments")
     last = F.lit(1 << 40)
     at = F.coalesce(F.col("turn").cast("long"), last)
     rank = F.struct(at.alias("at"), F.xxhash64("text", "role", "name", "arguments").alias("h"))
     messages = messages.withColumn("_rank", rank)
-    owners = messages.where("call_id is not null").groupBy(F.col("call_id").alias("_id")).agg(F.min("_rank").alias("_owner"))
-    answers = messages.where("result_of is not null").groupBy(F.col("result_of").alias("_id")).agg(F.min("_rank").alias("_answer"))
+    conv = F.col("conv_id").cast("string")
+    # The length before the conversation keeps its end apart from the identifier.
+    within = lambda c: F.concat(F.coalesce(F.concat(F.length(conv).cast("string"), F.lit(":"), conv), F.lit("-")), c)
+    owners = messages.where("call_id is not null").groupBy(within(F.col("call_id")).alias("_id")).agg(F.min("_rank").alias("_owner"))
+    answers = messages.where("result_of is not null").groupBy(within(F.col("result_of")).alias("_id")).agg(F.min("_rank").alias("_answer"))
     pairs = owners.join(answers, "_id", "full").select("_id", "_owner", "_answer")
-    key = F.coalesce("result_of", "call_id")
+    key = within(F.coalesce("result_of", "call_id"))
     # Messages without an identifier take part in no join.
     linked = messages.where(key.isNotNull()).withColumn("_id", key).join(pairs, "_id", "left").drop("_id")
     alone = messages.where(key.isNull()).withColumns({"_owner": F.lit(None).cast(pairs.schema["_owner"].dataType), "_answer": F.lit(None).cast(pairs.schema["_answer"].dataType)})
