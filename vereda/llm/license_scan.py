@@ -36,11 +36,16 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 K, BAND, COVERED, STRETCH = 3, 3, 0.6, 1.5
 #: Words of a stretch of text in which overlapping spans meet.
 CELL = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The only characters outside ASCII whose lower case holds an ASCII letter; another non-ASCII letter stands for them.
+FOLDED_TO_ASCII = ["\u0130", "\u212a"]
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+    """Words that compare with templates as if A-Z alone were folded."""
+    text = F.coalesce(text, F.lit(""))
+    for c in FOLDED_TO_ASCII:
+        text = F.replace(text, F.lit(c), F.lit("\u00e9"))
+    return F.split(F.lower(text), SEPARATORS)
 
 
 def _count(words: Column) -> Column:
