@@ -10,9 +10,14 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests) a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset a new local one, in local mode alone.
+
+    On a cluster a local folder would hold each executor's part on its own disk, so a missing setting is an error there.
+    """
     got = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = f"file://{tempfile.mkdtemp(prefix='vereda-')}"
         spark.sparkContext.setCheckpointDir(got)
     return got
@@ -26,6 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ passage, and with words for `weak` of it, is searched at each place dense enough
 
 Documents are read twice and never shuffled. Passages are handled in blocks of `block`, so what a task holds has a fixed
 bound. Defined cases: passages of under `least` words match nothing; null and empty texts match nothing; a table
-without passages gives clean documents; repeated rows are judged alike; extra columns are carried along, or replaced
+without passages gives clean documents; identifiers of passages are text or integers; repeated rows are judged alike; extra columns are carried along, or replaced
 where they have a result's name.
 """
 
@@ -33,7 +33,11 @@ from vereda.llm._work import widened
 RANK, WINDOW, COSINE, STRONG, WEAK, ANSWER, LEAST, BLOCK, POWER, SEED = 96, 64, 0.6, 0.8, 0.6, 0.8, 6, 4096, 2, 20240610
 #: Words between the starts of two pieces at least; piece x word flags and pairs or words of pairs held at a time.
 PIECE, FLAGS, HELD = 256, 1 << 24, 1 << 20
-ADDED = "n_items long, items array<long>, item_id long, cosine double, overlap double, contaminated boolean"
+ADDED = ["n_items", "items", "item_id", "cosine", "overlap", "contaminated"]
+
+
+def added(id_type: str) -> str:
+    return f"n_items long, items array<{id_type}>, item_id {id_type}, cosine double, overlap double, contaminated boolean"
 
 
 def tokens(texts: list[str]) -> list[np.ndarray]:
@@ -157,9 +161,10 @@ def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 def match(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, window: int = WINDOW, cosine: float = COSINE, strong: float = STRONG, weak: float = WEAK,
           answer: float = ANSWER, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """All columns of docs with the passages that contaminate each: n_items, items, and of the best one id, cosine, overlap."""
-    names = [x.split()[0] for x in ADDED.split(", ")]
+    names = ADDED
     docs = docs.drop(*names)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("passage"))
+    id_type = "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "bigint"
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast(id_type).alias("item_id"), F.col("text").alias("passage"))
     n = items.count()
     out = docs
     if n > block:
@@ -185,7 +190,9 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
     rows = sorted((r.item_id, r.passage) for r in items.collect())
     hashes = tokens([text for _, text in rows])
     kept = [i for i, h in enumerate(hashes) if len(h) >= least]
-    ids = np.array([rows[i][0] for i in kept], np.int64)
+    ids = [rows[i][0] for i in kept]
+    schema = widened(docs, added(items.schema["item_id"].dataType.simpleString()))
+    id_type = pa.string() if items.schema["item_id"].dataType.simpleString() == "string" else pa.int64()
     hashes, tails = [hashes[i] for i in kept], [answer_length(rows[i][1], len(hashes[i])) for i in kept]
     place, half = docs.columns.index("text"), window // 2
     if kept:
@@ -259,17 +266,17 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
                             missed[row, i] = max(missed.get((row, i), 0.0), share)
                     for (row, i), share in missed.items():
                         found[row][i] = round(share, 6), round(float(near[offset[row] : offset[row + 1], i].max()), 4)
-                best = [max(((*v, -ids[i]) for i, v in f.items()), default=None) for f in found]
+                best = [max(((*v, -i) for i, v in f.items()), default=None) for f in found]
                 columns = [
                     pa.array([len(f) for f in found], pa.int64()),
-                    pa.array([sorted(int(ids[i]) for i in f) for f in found], pa.list_(pa.int64())),
-                    pa.array([None if x is None else int(-x[2]) for x in best], pa.int64()),
+                    pa.array([[ids[i] for i in sorted(f)] for f in found], pa.list_(id_type)),
+                    pa.array([None if x is None else ids[-x[2]] for x in best], id_type),
                     pa.array([0.0 if x is None else x[1] for x in best], pa.float64()),
                     pa.array([0.0 if x is None else x[0] for x in best], pa.float64()),
                     pa.array([bool(f) for f in found], pa.bool_()),
                 ]
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *[x.split()[0] for x in ADDED.split(", ")]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *ADDED])
 
     def sharing(word: np.ndarray, first: np.ndarray, flags: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(row, passage, start, end) of the pieces that hold a sign of the passage and words for the weak share of it."""
@@ -340,4 +347,4 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
             start, end = first[r] + (at[a] - offset[r]) * half - wide, first[r] + (at[b - 1] - offset[r]) * half + window + wide
             yield r, k, float(near[at[a:b], k].max()), max(int(first[r]), int(start)), min(int(first[r + 1]), int(end))
 
-    return docs.mapInArrow(run, widened(docs, ADDED))
+    return docs.mapInArrow(run, schema)

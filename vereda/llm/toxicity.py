@@ -9,7 +9,8 @@ document is scored.
 
 Scoring reads each text once, without a shuffle; the model is at most the sample's vocabulary.
 Defined cases: labels that are null or have no document are left out; with labels of one grade only every score is 0; null and
-empty texts have no words and get the intercept alone (severity 0 without a model); repeated rows are scored alike.
+empty texts have no words and get the intercept alone (severity 0 without a model); repeated rows are scored alike; a
+column of the input with a result's name is replaced; a very long text is held whole, with some tens of bytes a byte.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from vereda.llm import _text as t
 from vereda.llm._work import widened
 
 SAMPLE_PER_GRADE, MIN_DF, MIN_Z, L2, STEPS, REJECT, SEED = 4000, 5, 5.0, 0.3, 200, 0.25, 20240609
+ADDED = "p_toxic double, severity double, grade int, toxic boolean"
 
 
 @dataclass
@@ -101,7 +103,7 @@ def train(docs: DataFrame, graded: DataFrame, sample_per_grade: int = SAMPLE_PER
         return None
     parts = [graded.where(F.col("grade") == g).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_per_grade) for g in sorted(counts)]
     sample = reduce(DataFrame.union, parts).select(F.col("doc_id").alias("_id"), "grade")
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("_id")).groupBy("_id", "grade").agg(F.first("text", ignorenulls=True).alias("text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("_id", "grade").agg(F.first("text", ignorenulls=True).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,8 +126,7 @@ def train(docs: DataFrame, graded: DataFrame, sample_per_grade: int = SAMPLE_PER
 
 def score(docs: DataFrame, model: Ordinal | None, reject: float = REJECT) -> DataFrame:
     """All columns of docs with p_toxic, severity (expected), grade (most likely) and toxic (p_toxic >= reject)."""
-    added = "p_toxic double, severity double, grade int, toxic boolean"
-    names = [x.split()[0] for x in added.split(", ")]
+    names = [x.split()[0] for x in ADDED.split(", ")]
     docs = docs.drop(*names)
     place = docs.columns.index("text")
 
@@ -146,4 +147,4 @@ def score(docs: DataFrame, model: Ordinal | None, reject: float = REJECT) -> Dat
                 part = batch.slice(low, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, columns)], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, widened(docs, added))
+    return docs.mapInArrow(run, widened(docs, ADDED))
