@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vereda.llm._work import written
 
-WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS, SEED = (3, 1, 2), 1.5, 2.0, 64, 1_000_000, 20240608
+WEIGHTS, SHARE, CAP, BLOCK, SHARD_WORDS, SHARDS_A_TASK, SEED = (3, 1, 2), 1.5, 2.0, 64, 1_000_000, 8, 20240608
 NONSPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -84,6 +84,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     cells = sainte_lague(cells, ["source_no"], ["shard"], "words", "seats").where("words > 0")
     cells = cells.withColumn("n_blocks", F.ceil(F.col("words") / block))
 
+    # Dealt by shard before its blocks are listed, a task for every few shards: the number follows the words.
+    tasks = 1 + (rows.agg(F.sum("size")).first()[0] or 0) // (SHARDS_A_TASK * shard_words)
+    cells = cells.repartition(tasks, "source_no", "shard")
     blocks = cells.select("source_no", "shard", "quota", "words", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     short = (F.col("block") + 1) * block > F.col("words")
     order = Window.partitionBy("source_no", "shard").orderBy(short, F.xxhash64(F.lit(seed + 2), F.col("source_no"), F.col("shard"), F.col("block")), "block")
