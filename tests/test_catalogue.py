@@ -10,7 +10,7 @@ from vereda.operators import retrieval as rt
 from vereda.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bm25_topk", "rrf_provenance", "lexicon_mentions", "graph_stats", "khop_neighborhood", "mediator_inference", "pair_findings_ranked", "pair_mechanism", "inferred_edge_evidence", "ir_metrics_at_k", "answer_compose", "evidence_append"]
+NAMES = ["bm25_topk", "rrf_provenance", "lexicon_mentions", "graph_stats", "khop_neighborhood", "mediator_inference", "pair_findings_ranked", "pair_mechanism", "inferred_edge_evidence", "ir_metrics_at_k", "answer_compose", "evidence_append", "guided_retrieval"]
 
 
 def plain(value):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vereda.functions import text as tx
 from vereda.operators import graph as g
+from vereda.operators import guided as gd
 from vereda.operators import lexicon as lx
 from vereda.operators import retrieval as rt
 
@@ -360,6 +361,33 @@ def docs_touching_nodes(spark, d):
     return m.groupBy("doc_id").agg(F.size(touched).cast("long").alias("n"), F.array_join(F.array_sort(touched), ",").alias("nodes"))
 
 
+#: Lexicon entries of passages and documents; an entry is linked to each source whose documents mention it.
+GUIDED = f"""{FUSE}, {MENTIONS}, mi AS (SELECT DISTINCT doc_id, kind || '::' || canonical AS id FROM m),
+an AS (SELECT DISTINCT item_id AS query_id, kind || '::' || canonical AS id FROM (SELECT item_id, {squeezed_sql('text')} AS t FROM benchmark) x JOIN lex ON contains(t, surface) AND regexp_matches(t, '(^|[^\\w-])' || regexp_escape(surface) || '([^\\w-]|$)')),
+li AS (SELECT DISTINCT id, source FROM mi JOIN documents USING (doc_id) WHERE source IS NOT NULL),
+nb AS (SELECT query_id, id FROM an UNION SELECT query_id, b.id FROM an JOIN li a USING (id) JOIN li b ON a.source = b.source),
+tn AS (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM nb JOIN mi USING (id) GROUP BY ALL), {ranked_sql('tn', 24, 'r3')},
+l3 AS (SELECT query_id, doc_id, rank, CASE list WHEN 'bm25' THEN 0 ELSE 1 END AS no FROM lists UNION ALL SELECT query_id, doc_id, rank, 2 FROM r3),
+f3 AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, min(no * 100 + rank) AS first FROM l3 GROUP BY ALL),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first, doc_id) AS rank FROM f3)"""
+
+
+@query(f"""WITH {GUIDED} SELECT query_id, doc_id, rank, round(score, 6) AS score, array_to_string(list_concat(list_concat(
+  CASE WHEN EXISTS (SELECT 1 FROM lists x WHERE x.list = 'bm25' AND x.query_id = b3.query_id AND x.doc_id = b3.doc_id) THEN ['bm25'] ELSE [] END,
+  CASE WHEN EXISTS (SELECT 1 FROM lists x WHERE x.list = 'grams' AND x.query_id = b3.query_id AND x.doc_id = b3.doc_id) THEN ['grams'] ELSE [] END),
+  CASE WHEN EXISTS (SELECT 1 FROM tn x WHERE x.query_id = b3.query_id AND x.doc_id = b3.doc_id) THEN ['graph'] ELSE [] END), '+') AS provenance FROM b3 WHERE rank <= 8""")
+def guided_retrieval(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text", "source")
+    node = F.concat("kind", F.lit("::"), "canonical").alias("id")
+    found = g.stored(lx.mentions(docs, lexicon(spark), "doc_id").select("doc_id", node))
+    edges = found.join(docs.where("source is not null").select("doc_id", "source"), "doc_id").select(F.col("id").alias("src"), F.concat(F.lit("source::"), "source").alias("dst")).distinct()
+    anchors = lx.mentions(read(spark, d, "benchmark"), lexicon(spark), "item_id").select(F.col("item_id").alias("query_id"), "kind", node, F.lit(0).alias("place"))
+    both = g.stored(lists(spark, d))
+    text = [(name, 1.0, both.where(F.col("list") == name)) for name in ("bm25", "grams")]
+    rows = gd.guided(text, found, edges, anchors, "doc_id", settings=gd.Settings(hops=2)).rows
+    return rows.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "provenance")
+
+
 #: Suppliers modulate, customers react, their nation mediates; balances and segments stand for intensity and role.
 INFER = """mo AS (SELECT s_suppkey AS a, s_nationkey AS m, CASE WHEN s_suppkey % 3 = 0 THEN 'INDUZ' ELSE 'INIBE' END AS ra, CASE WHEN s_acctbal > 6000 THEN 'forte' WHEN s_acctbal > 1000 THEN 'moderada' ELSE 'fraca' END AS ia FROM supplier),
 ta AS (SELECT c_custkey AS b, c_nationkey AS m, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ATIVADO_POR' ELSE 'SUBSTRATO_DE' END AS rb, CASE WHEN c_acctbal > 5000 THEN 'sensivel' ELSE 'moderada' END AS ib FROM customer),
