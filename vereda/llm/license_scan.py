@@ -6,7 +6,8 @@ verbatim place; neighbouring diagonals (a word added or left out in between) are
 it covers enough of the template without being stretched. Templates that differ in few words all find the same place, so
 of overlapping spans with different labels only that with the largest covered share, then the most votes, counts.
 
-Templates are a fixed list, so the broadcast side has a proven bound; texts are never shuffled.
+Templates are a fixed list, so the broadcast side has a proven bound; texts are never shuffled. The votes are written
+once, as base places and spans both read them.
 
 Defined cases: null or empty text has no words; a text with fewer words than k has no hit; repeated rows (same id and
 text) each get the same result; other columns are ignored, whatever their names.
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vereda.llm._work import written
+
 #: Fixed values: (label, phrase, whether its verbatim places are the base count). Wording of public license notices.
 TEMPLATES = [
     ("mit", "under the mit license", True),
@@ -118,7 +121,7 @@ def unbeaten(found: DataFrame, cell: int = CELL) -> DataFrame:
 def scan(docs: DataFrame, templates=None, k: int = K) -> DataFrame:
     """One row per document: n_words, base places and their range, labels and a score (largest covered share)."""
     grams = template_grams(docs.sparkSession, templates, k)
-    votes = diagonals(docs, grams, k)
+    votes = written(diagonals(docs, grams, k), "votes")
     base = votes.where(F.col("base") & (F.col("votes") == F.col("n_grams"))).groupBy("k1", "k2").agg(
         F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set")
     )
