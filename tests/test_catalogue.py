@@ -123,3 +123,25 @@ def test_mediated_counts_equal_the_edges_without_making_them(spark):
     reach = spark.range(600).select(F.col("id").alias("b"), F.lit(1).alias("m"), F.lit("X").alias("relation_b"), F.lit("sensivel").alias("intensity_b"))
     row = g.mediated_counts(many, reach).first()
     assert (row.n, row.n_sources, row.n_targets) == (600 * 599, 600, 600)
+
+
+def test_nearest_equals_every_pair(spark, monkeypatch):
+    """Equal, null and zero vectors, in packs that are smaller than the table; ties go to the lesser key."""
+    import numpy as np
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(rt, "CELLS", 64)
+    rows = np.random.default_rng(3).standard_normal((300, 5)).astype(np.float32).tolist()
+    rows[40:90] = [rows[0]] * 50
+    rows[100] = rows[120] = None
+    rows[140] = [0.0] * 5
+    v = spark.createDataFrame([(i, x, 1) for i, x in enumerate(rows)], "vec_id long, embedding array<float>, label int").repartition(7)
+    con = duckdb.connect()
+    con.register("embeddings", v.toArrow())
+    want = con.sql(catalogue.oracle_sql()["embed_cosine_topk"]).fetchall()
+    found = rt.nearest(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", 10)
+    assert found.count() <= 15 * 10 * 7  # k rows for each query and pack, not one for each pair
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    got = found.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", "vec_id", "rank", F.round("score", 6)).collect()
+    assert sorted(tuple(map(str, r[:3])) + (plain(r[3]),) for r in got) == sorted(tuple(map(str, r[:3])) + (plain(r[3]),) for r in want)
