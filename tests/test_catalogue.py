@@ -145,3 +145,28 @@ def test_nearest_equals_every_pair(spark, monkeypatch):
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     got = found.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", "vec_id", "rank", F.round("score", 6)).collect()
     assert sorted(tuple(map(str, r[:3])) + (plain(r[3]),) for r in got) == sorted(tuple(map(str, r[:3])) + (plain(r[3]),) for r in want)
+
+
+def test_small_lexicon_is_searched_with_the_rows_of_the_gram_join(spark, monkeypatch):
+    """Both ways agree on odd boundaries, and the search deals no word of a text to another task: one exchange, of what is found."""
+    from vereda.operators import lexicon as lx
+
+    lex = lx.lexicon(spark.createDataFrame([(s, k, c, i) for i, (s, k, c) in enumerate(catalogue.SURFACES)], "surface string, kind string, canonical string, ord int"))
+    texts = ["Of  the rings", "of-the in", "in, mit", "MIT License 2.0.", "apache license-2.0", "apáche\nlicense 12.0", "the", "breathe", "", None, "in_the der", "ofé the", "of . the"]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "der")], "doc_id long, text string")
+    found = lx.mentions(docs, lex, "doc_id")
+    got = sorted(map(tuple, found.collect()))
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(lx, "LARGEST_SEARCHED", 0)
+    assert got == sorted(map(tuple, lx.mentions(docs, lex, "doc_id").collect())) and len(got) > 10
+
+
+def test_tokens_pass_over_stop_words(spark):
+    """The one search gives what filtering all runs gives."""
+    from pyspark.sql import functions as F
+
+    texts = ["a de deve dever x 12 e3 the_then de2 2de", "ção DE, dé-de; ofof of", "", None, "aa" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    runs = F.filter(F.regexp_extract_all(tx.fold(F.col("t")), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~F.array_contains(F.array(*map(F.lit, catalogue.STOP)), w))
+    for r in df.select(tx.tokens(F.col("t"), catalogue.STOP).alias("got"), runs.alias("want")).collect():
+        assert r.got == r.want

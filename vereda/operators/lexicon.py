@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from vereda.functions import text as tx
 
-LARGEST_BROADCAST = 20_000
+#: Surfaces that are sent to every executor, and surfaces that are searched one by one in each text.
+LARGEST_BROADCAST, LARGEST_SEARCHED = 20_000, 64
 
 
 def lexicon(rows: DataFrame) -> DataFrame:
@@ -21,12 +22,26 @@ def _grams(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
+def _searched(texts: DataFrame, surfaces: list[Row], lex: DataFrame, key: str, text: str) -> DataFrame:
+    """mentions() of few surfaces: each is a fixed pattern."""
+    folded = texts.select(key, tx.squeeze(F.col(text)).alias("_t"))
+    cast = lambda r, c: F.lit(r[c]).cast(lex.schema[c].dataType).alias(c)
+    hits = [F.when(tx.bounded(F.col("_t"), F.lit(r["surface"])), F.struct(cast(r, "kind"), cast(r, "canonical"))) for r in surfaces]
+    if not hits:
+        return folded.select(key, F.lit("").alias("kind"), F.lit("").alias("canonical")).limit(0)
+    found = folded.select(key, F.explode(F.array_compact(F.array(*hits))).alias("_m"))
+    return found.select(key, "_m.kind", "_m.canonical").distinct()
+
+
 def mentions(texts: DataFrame, lex: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, kind, canonical) once each. Surfaces of word characters only join on word n-grams; others are searched.
+    """(key, kind, canonical) once each. A small lexicon is searched surface by surface, in one pass over the texts.
 
-    The n-grams of a text number its words times the longest surface's words, so the join is an equi-join for any size of
+    Of a larger one, surfaces of word characters only join on word n-grams; others are searched. The n-grams of a text number its words times the longest surface's words, so the join is an equi-join for any size of
     lexicon; the search is for the few surfaces with punctuation, against a broadcast of a checked size.
     """
+    few = lex.limit(LARGEST_SEARCHED + 1).collect()
+    if len(few) <= LARGEST_SEARCHED:
+        return _searched(texts, few, lex, key, text)
     marked = lex.withColumn("plain", F.col("surface").rlike(r"^[\w-]+( [\w-]+)*$"))
     plain, other = marked.where("plain"), marked.where("not plain")
     longest = plain.select(F.max(F.size(F.split("surface", " ")))).first()[0]
@@ -39,6 +54,7 @@ def mentions(texts: DataFrame, lex: DataFrame, key: str, text: str = "text") ->
         for n in range(1, longest + 1):
             part = runs.where(F.size("_w") >= n).select(key, F.explode(_grams(F.col("_w"), n)).alias("surface"))
             grams = part if grams is None else grams.unionAll(part)
+        plain = F.broadcast(plain) if plain.count() <= LARGEST_BROADCAST else plain
         parts.append(grams.join(plain, "surface").select(key, "kind", "canonical"))
     n_other = other.count()
     if n_other:
