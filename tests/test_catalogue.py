@@ -170,3 +170,31 @@ def test_tokens_pass_over_stop_words(spark):
     runs = F.filter(F.regexp_extract_all(tx.fold(F.col("t")), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~F.array_contains(F.array(*map(F.lit, catalogue.STOP)), w))
     for r in df.select(tx.tokens(F.col("t"), catalogue.STOP).alias("got"), runs.alias("want")).collect():
         assert r.got == r.want
+
+
+def test_best_terms_by_blocks_make_no_row_for_each_term(spark, monkeypatch):
+    """Several blocks, ties, a repeated, an empty and a null key, against plain counting; the plan explodes nothing."""
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(rt, "BLOCK", 5)
+    rnd = random.Random(5)
+    rows = [(i % 37 if i % 19 else None, [rnd.choice("abcdefghij") + rnd.choice(["", "x", "yz"]) for _ in range(i % 12)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    best = rt.best_terms(docs, "doc_id", "words", 3)
+    assert "Generate" not in best._jdf.queryExecution().optimizedPlan().toString()
+    bags = {}
+    for key, words in rows:
+        bags.setdefault(key, Counter()).update([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
+    df = Counter(t for bag in bags.values() for t in bag)
+    want = {}
+    for key, bag in bags.items():
+        w = {t: (1 + math.log(c)) * (math.log(61 / (1 + df[t])) + 1) for t, c in bag.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        if key is not None and w:
+            want[key] = sorted((-round(x / norm, 6), t) for t, x in w.items())[:3]
+    got = {}
+    for r in best.collect():
+        got.setdefault(r.doc_id, []).append((-round(r.weight, 6), r.term))
+    assert {k: sorted(v)[:3] for k, v in got.items()} == want
