@@ -78,7 +78,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["word", "df"])
 
-    got = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+    got = docs.select(F.col("text").cast("binary")).mapInArrow(t.lean(run), "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     word, count = got.column(0).to_numpy(), got.column(1).to_numpy()
     df = np.zeros(size, np.int64)
     df[word[word >= 0]] = count[word >= 0]
@@ -118,7 +118,7 @@ def latent_basis(spark, rows: list[tuple[np.ndarray, np.ndarray]], size: int, ra
             total = sum(np.frombuffer(x, np.float64) for x in parts.column("part").to_pylist())
             return pa.table({"strip": parts.column("strip").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
-        got = matrix.mapInArrow(run, "strip long, part binary").groupBy("strip").applyInArrow(add, "strip long, part binary").toArrow()
+        got = matrix.mapInArrow(t.lean(run), "strip long, part binary").groupBy("strip").applyInArrow(add, "strip long, part binary").toArrow()
         out = np.zeros(z.shape)
         for k, part in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
             x = np.frombuffer(part, np.float64).reshape(-1, z.shape[1])
@@ -347,4 +347,4 @@ def _search(docs: DataFrame, corpus: DataFrame, items: DataFrame, rank, window,
             start, end = first[r] + (at[a] - offset[r]) * half - wide, first[r] + (at[b - 1] - offset[r]) * half + window + wide
             yield r, k, float(near[at[a:b], k].max()), max(int(first[r]), int(start)), min(int(first[r + 1]), int(end))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(t.lean(run), schema)

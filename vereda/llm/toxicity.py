@@ -112,7 +112,7 @@ def train(docs: DataFrame, graded: DataFrame, sample_per_grade: int = SAMPLE_PER
                 own = [np.unique(h[first[i] : first[i + 1]]).tobytes() for i in range(high - low)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(own, pa.binary())], ["grade", "words"])
 
-    got = texts.select(F.col("grade").cast("int"), F.col("text").cast("binary")).mapInArrow(features, "grade int, words binary").toArrow()
+    got = texts.select(F.col("grade").cast("int"), F.col("text").cast("binary")).mapInArrow(t.lean(features), "grade int, words binary").toArrow()
     grade = got.column(0).to_numpy().astype(np.int64)
     if not len(grade):
         return None
@@ -147,4 +147,4 @@ def score(docs: DataFrame, model: Ordinal | None, reject: float = REJECT) -> Dat
                 part = batch.slice(low, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, columns)], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, widened(docs, ADDED))
+    return docs.mapInArrow(t.lean(run), widened(docs, ADDED))
