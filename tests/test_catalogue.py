@@ -198,3 +198,31 @@ def test_best_terms_by_blocks_make_no_row_for_each_term(spark, monkeypatch):
     for r in best.collect():
         got.setdefault(r.doc_id, []).append((-round(r.weight, 6), r.term))
     assert {k: sorted(v)[:3] for k, v in got.items()} == want
+
+
+def test_lsa_with_pairs_of_words_equals_exact_svd_where_values_fall_slowly(spark):
+    """Values that lie close together, terms of many, few and one document, a null key, documents without words; no row for each term of a document is dealt."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    texts = [[f"w{k}" for k in rnd.integers(0, 400, 40)] + [f"own{i}"] for i in range(1200)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, ["w1", "w2"]), (5000, []), (5001, None)], "doc_id long, words array<string>")
+    frame = rt.lsa_vectors(docs, "doc_id", "words", pairs=True)
+    got = {r.doc_id: np.array(r.vector) for r in frame.collect()}
+    assert sorted(got) == list(range(1200))
+    bags = [[*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False))] for t in texts]
+    at = {x: i for i, x in enumerate(sorted({x for t in bags for x in t}))}
+    tf = np.zeros((len(bags), len(at)))
+    for i, t in enumerate(bags):
+        np.add.at(tf, (i, [at[x] for x in t]), 1)
+    n = len(texts) + 2  # documents without words count, those without a key don't
+    a = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * (np.log((1 + n) / (1 + (tf > 0).sum(0))) + 1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    values, turn = np.linalg.eigh(a @ a.T)
+    exact = turn[:, ::-1][:, :128] * np.sqrt(values[::-1][:128])
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    mine = np.stack([got[i] for i in range(len(texts))])
+    top = [np.argsort(-(x @ x.T - 2 * np.eye(len(x))), axis=1)[:, :5] for x in (mine, exact)]
+    recall = np.mean([len(set(p) & set(q)) / 5 for p, q in zip(*top, strict=True)])
+    assert mine.shape == exact.shape and recall >= 0.98, recall
+    assert rt.lsa_vectors(docs.limit(0), "doc_id", "words").count() == 0
