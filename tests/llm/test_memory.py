@@ -50,3 +50,36 @@ def test_classes_do_not_hang_on_batch_and_step(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BATCH", 7)
     monkeypatch.setattr(near_dup, "STEP", 5)
     assert sorted(near_dup.classes(docs).collect()) == want and max(r.class_size for r in want) > 1
+
+
+def test_near_duplicates_deal_only_texts_and_profiles_with_a_partner(spark, monkeypatch):
+    """The joins with texts and with profiles sift them before they are dealt; the classes are those of joins without sifting."""
+    from contextlib import nullcontext
+
+    from vereda.llm import _work, near_dup
+
+    base = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(40)]
+    texts = [*base, *base[:6], *(t.replace("x30", "y") for t in base[:10])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, plans, plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}, _work.written
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    held = spark.conf.get(name)
+
+    def written(df, name, batch=None):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString().count("might_contain"))
+        return plain(df, name, batch)
+
+    monkeypatch.setattr(_work, "written", written)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = sorted(near_dup.classes(docs.repartition(3)).collect())
+        docs.write.mode("overwrite").parquet(path := f"{_work.shared_dir(spark)}/sifted-docs")
+        stored = sorted(near_dup.classes(spark.read.parquet(path)).collect())
+        assert plans["profiles"][-1] and plans["pivots"][-1] and plans["close"][-1]
+        monkeypatch.setattr(_work, "sifted", lambda spark: nullcontext())
+        plans.clear()
+        assert sorted(near_dup.classes(spark.read.parquet(path)).collect()) == got == stored
+        assert not sum(sum(x) for x in plans.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.conf.get(name) == held
