@@ -2,7 +2,7 @@ import re
 
 import pyarrow as pa
 
-from vereda.llm import _text, _work, near_dup
+from vereda.llm import _text, _work, mixing, near_dup
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -83,3 +83,12 @@ def test_near_duplicates_deal_only_texts_and_profiles_with_a_partner(spark, monk
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert spark.conf.get(name) == held
+
+
+def test_mixing_sends_no_list_of_blocks_to_every_executor(spark):
+    """The blocks grow with the words; a join that broadcasts them holds them all in the driver."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * 50), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, block=1, shard_words=5000)
+    assert sum(r.taken for r in got.collect()) == 22_500
+    joins = re.findall(r"\w+Join \[source_no#\d+, shard#\d+L?, block#\d+L?\]", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and not any("Broadcast" in x for x in joins), joins

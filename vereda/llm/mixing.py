@@ -96,7 +96,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     start = F.col("end") - F.col("size")
     pieces = rows.where("size > 0").select("source_no", "shard", "place", "size", "end", F.explode(F.sequence(F.floor(start / block), F.floor((F.col("end") - 1) / block))).alias("block"))
     part = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(start, F.col("block") * block)
-    taken = pieces.join(blocks, ["source_no", "shard", "block"]).groupBy("source_no", "shard", "place").agg(F.sum(F.col("times") * part).cast("long").alias("taken"))
+    # Spark takes the listed blocks for as small as the cells that they come from and would send all of them to every executor.
+    taken = pieces.join(blocks.hint("merge"), ["source_no", "shard", "block"]).groupBy("source_no", "shard", "place").agg(F.sum(F.col("times") * part).cast("long").alias("taken"))
     return rows.join(taken, ["source_no", "shard", "place"], "left").select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
     )
